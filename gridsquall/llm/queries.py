@@ -29,6 +29,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    from gridsquall.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 @query
 def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token shards of all documents, read back: where each document starts, its length and digest."""
