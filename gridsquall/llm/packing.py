@@ -84,15 +84,23 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
 
 
 def plan_packing(histogram: dict[int, int], capacity: int, groups: int = 40) -> tuple[np.ndarray, int]:
-    """Rows (length, first number, pieces, first sequence, offset) and the number of sequences."""
+    """Rows (length, first number, pieces, first sequence, offset) and the number of sequences.
+
+    Where there are few small pieces to fill up with, rounding can cost more than it
+    gains, so the plan of best fit alone is made too; the one with fewer sequences counts.
+    """
+    return min((grouped_plan(histogram, capacity, g) for g in (groups, 0)), key=lambda p: p[1])
+
+
+def grouped_plan(histogram: dict[int, int], capacity: int, groups: int) -> tuple[np.ndarray, int]:
+    """The plan with so many groups of large lengths; with none, all are packed by best fit."""
     rows: list[tuple[int, int, int, int, int]] = []
-    used = {n: 0 for n in histogram}  # pieces of each length that have a place
     bins = 0
     room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by room left: (first sequence, sequences)
     if n := histogram.get(capacity):
         rows.append((capacity, 0, n, 0, 0))
-        used[capacity], bins = n, n
-    large = [n for n in sorted(histogram, reverse=True) if capacity > n > capacity // 8]
+        bins = n
+    large = [n for n in sorted(histogram, reverse=True) if capacity > n > capacity // 8 and groups]
     total = sum(histogram[n] for n in large)
     if total:
         edge = np.unique(np.linspace(0, total, min(groups, total) + 1).astype(np.int64))
@@ -128,7 +136,7 @@ def plan_packing(histogram: dict[int, int], capacity: int, groups: int = 40) ->
             rest.setdefault(large[k], []).append((a - int(before[k]), z - a))
             a = z
     for n in histogram:
-        if n <= capacity // 8 and n not in rest and n != capacity:
+        if n != capacity and n not in large:
             rest[n] = [(0, histogram[n])]
     some = sum(1 << r for r in range(capacity + 1) if room[r])
     for n in sorted(rest, reverse=True):

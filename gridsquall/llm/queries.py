@@ -37,6 +37,17 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from four fifths of the labels."""
+    from gridsquall.llm.quality import score_quality, train_quality
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    scored = score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels"), held_out=held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token shards of all documents, read back: where each document starts, its length and digest."""
