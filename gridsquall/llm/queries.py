@@ -48,6 +48,16 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of those with a language."""
+    from gridsquall.llm.language import predict_language, train_language
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return predict_language(docs, train_language(docs, held_out=held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token shards of all documents, read back: where each document starts, its length and digest."""
