@@ -29,6 +29,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose four-word shingles agree to 85 %."""
+    from gridsquall.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("node")
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""

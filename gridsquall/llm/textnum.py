@@ -18,8 +18,8 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 SPACES = (9, 10, 11, 12, 13, 32)
 
-#: A-Z to lower case; ASCII white space parts words.
-BLANK_PARTED = np.array([0 if c in SPACES else c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+#: A-Z to lower case; ASCII white space parts words.  A zero byte takes a value that UTF-8 never has.
+BLANK_PARTED = np.array([255 if c == 0 else 0 if c in SPACES else c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 #: A-Z to lower case; every ASCII character but letters and digits parts words.
 LETTERS = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 0 for c in range(256)], np.uint8)
 
