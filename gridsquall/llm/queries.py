@@ -56,6 +56,15 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat an earlier one, exactly or nearly."""
+    from gridsquall.llm.lines import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"), counts=True)
+    return out.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 @query
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three quarters of those with a language."""
