@@ -45,6 +45,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy longest-match pieces of every document."""
+    from gridsquall.llm.wordpiece import LongestMatch, count_tokens, marked_pieces
+
+    return count_tokens(table(spark, sf_dir, "documents"), LongestMatch(*marked_pieces(vocabulary("piece_bpe_32k.model"))))
+
+
 @query
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from four fifths of the labels."""
@@ -83,6 +91,15 @@ def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_shards(token_shards(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")), with_ids=False)
 
 
+@query
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th vector."""
+    from gridsquall.llm.neighbours import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside windows of benchmark items."""
