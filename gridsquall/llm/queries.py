@@ -100,6 +100,14 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+@query
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article text of every page."""
+    from gridsquall.llm.html import extract_text, train_extractor
+
+    return extract_text(table(spark, sf_dir, "pages"), train_extractor()).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside windows of benchmark items."""

@@ -5,10 +5,10 @@ from gridsquall.llm.wordpiece import LongestMatch, count_tokens, marked_pieces
 
 
 def greedy(word, initial, inner):
-    at, n = 0, 0
+    at, n, most = 0, 0, max(map(len, initial | inner))
     while at < len(word):
         pool = inner if at else initial
-        size = next((k for k in range(len(word) - at, 0, -1) if word[at : at + k] in pool), 0)
+        size = next((k for k in range(min(most, len(word) - at), 0, -1) if word[at : at + k] in pool), 0)
         if not size:
             return 0
         at, n = at + size, n + 1
