@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridsquall.session import ensure_checkpoint_dir
 
@@ -42,3 +43,14 @@ def runs(batches: Iterable[pa.RecordBatch], column: int, limit: int = RUN_CHARS)
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             yield batch.slice(a, b - a)
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns ``c0, c1, ...`` so that none clashes, and the new name of each."""
+    names = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    return df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names
+
+
+def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of ``numbered`` under their own names."""
+    return df.select(*(F.col(n).alias(c) for c, n in names.items()))

@@ -98,21 +98,25 @@ def item_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) ->
     return [spark.sparkContext.broadcast([tuple(r) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()]) for b in range(n)]
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, block_bytes: int = 64_000_000) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, block_bytes: int = 64_000_000, keep: bool = False) -> DataFrame:
     """Per document: words, hit words, the items found, and the hit spans of the original text.
 
     Columns: the id, ``n_words``, ``n_hit``, ``item_ids`` (sorted strings), ``spans``
-    (array of start/end character offsets), ``contaminated``.
+    (array of start/end character offsets), ``contaminated``.  With ``keep``, all columns
+    of ``docs`` come first; none may have one of these names.
     """
     blocks = item_blocks(items, item_id, item_text, block_bytes)
-    key = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {key}, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>, contaminated boolean"
+    rows = docs if keep else docs.select(id_col, text_col)
+    at = rows.columns.index(text_col)
+    first = [f for f in rows.schema if keep or f.name == id_col]
+    places = [rows.columns.index(f.name) for f in first]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first) + ", n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>, contaminated boolean"
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = (blocks[0].value, build_automaton(blocks[0].value, width)) if len(blocks) == 1 else None
-        for batch in runs(batches, 1):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+        for batch in runs(batches, at):
+            texts = [t or "" for t in batch.column(at).to_pylist()]
             words = [folded_words(t) for t in texts]
             hits: list[np.ndarray | None] = [None] * len(texts)
             ids: list[set[str]] = [set() for _ in texts]
@@ -125,17 +129,17 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
             n_hit = [0 if h is None else int(h.sum()) for h in hits]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *(batch.column(p) for p in places),
                     pa.array(map(len, words), pa.int64()),
                     pa.array(n_hit, pa.int64()),
                     pa.array([sorted(x) for x in ids], pa.list_(pa.string())),
                     pa.array([[] if h is None else hit_spans(t, h) for t, h in zip(texts, hits, strict=True)], span),
                     pa.array([n > 0 for n in n_hit], pa.bool_()),
                 ],
-                names=[id_col, "n_words", "n_hit", "item_ids", "spans", "contaminated"],
+                names=[f.name for f in first] + ["n_words", "n_hit", "item_ids", "spans", "contaminated"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(work, schema)
+    return rows.mapInArrow(work, schema)
 
 
 def items_digest(ids: list[str]) -> str:

@@ -34,7 +34,7 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose four-word shingles agree to 85 %."""
     from gridsquall.llm.jaccard import jaccard_components
 
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("node")
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("component", "row_key")
 
 
 @query
