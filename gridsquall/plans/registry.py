@@ -20,3 +20,6 @@ def query(name: str, oracle: str | None = None):
         return f
 
     return put
+
+
+from gridsquall.plans import basic, joins, statistics  # noqa: E402, F401  registers its queries
