@@ -5,17 +5,18 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from gridsquall.functions.numeric import norm_cdf, student_p
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a correlation."""
     return pd.Series([None if pd.isna(x) or m < 3 else 0.0 if abs(x) >= 1 else student_p(x * ((m - 2) / (1 - x * x)) ** 0.5, m - 2) for x, m in zip(r, n, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return pd.Series(2 * norm_cdf(-z.abs().to_numpy(dtype=float)))
 
