@@ -68,7 +68,7 @@ def _(spark, d):
     r, _ = _resampled_joint(spark, d, True)
     obs = _chi(spark, d, 2500.0).select("i", "j", "n_joint")
     p = r.join(obs, ["i", "j"]).groupBy("i", "j").agg(((1 + F.count_if(F.col("k") >= F.col("n_joint"))) / (B + 1.0)).alias("p"))
-    return T.benjamini_hochberg(p, "p", ["i", "j"])
+    return T.benjamini_hochberg(p, "p")
 
 
 @F.pandas_udf(DoubleType())

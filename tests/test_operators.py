@@ -34,7 +34,7 @@ def test_near_pairs_equal_all_pairs(spark):
 
 def test_benjamini_hochberg(spark):
     df = spark.createDataFrame([(1, 0.01), (2, 0.02), (3, 0.03), (4, 0.5)], "k long, p double")
-    got = {r.k: (round(r.p_adjusted, 6), r.significant) for r in tail.benjamini_hochberg(df, "p", ["k"]).collect()}
+    got = {r.k: (round(r.p_adjusted, 6), r.significant) for r in tail.benjamini_hochberg(df, "p").collect()}
     assert got == {1: (0.04, True), 2: (0.04, True), 3: (0.04, True), 4: (0.5, False)}
 
 
