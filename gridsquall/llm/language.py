@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsquall.llm import textnum
-from gridsquall.llm.common import runs
+from gridsquall.llm.common import least_hashes, runs
 
 BITS, BLOCK = 17, 64
 MASK = np.uint64((1 << BITS) - 1)
@@ -208,7 +208,7 @@ def train_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     fold = held_out if held_out is not None else F.lit(False)
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= max_bytes // 100) & ~F.coalesce(fold, F.lit(False)))
     some = rows.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("y"))
-    got = sorted((r.h, r.t, r.y) for r in some.orderBy("h", "t", "y").limit(max_train).collect())
+    got = sorted((r.h, r.t, r.y) for r in least_hashes(some, "h", max_train, "t", "y").collect())
     size = np.cumsum([len(t.encode()) for _, t, _ in got])
     got = got[: int(np.searchsorted(size, max_bytes))]
     return fit([t for _, t, _ in got], [y for _, _, y in got])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsquall.llm import textnum
-from gridsquall.llm.common import runs
+from gridsquall.llm.common import least_hashes, runs
 
 WORD_BITS = 15
 BINS = 24
@@ -172,7 +172,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     fold = held_out if held_out is not None else F.lit(False)
     lab = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("double").alias("y")).filter(F.col("y").isNotNull() & F.col("i").isNotNull())
     lab = lab.withColumn(id_col, F.col("i")).filter(~fold).groupBy("i").agg(F.max("y").alias("y"))
-    few = lab.orderBy(F.xxhash64("i"), "i").limit(max_train)
+    few = least_hashes(lab.withColumn("h", F.xxhash64("i")), "h", max_train, "i").drop("h")
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(few), "i").select("t", "y")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
