@@ -31,18 +31,23 @@ def decluster_runs(events: DataFrame, key: str, us: str, mag: str, run_min: floa
 def sdt_segments(series: DataFrame, eps: float) -> DataFrame:
     """Swinging-door segments ``sid, run, us_a, us_b, k_a, k_b, n`` of each run of valid values.
 
-    The door's state makes this sequential within a run, so runs are groups of an Arrow
-    function; a run ends at every gap, which bounds it.
+    The door's state makes this sequential within a run, so a station is a group of a
+    pandas function: a group for each run would cost more in calls than in work.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["us", "event_id"])
-        v, t = pdf["k"].to_numpy(), pdf["us"].to_numpy()
-        at = np.array(swinging_door(v, eps))
-        a, b = at[:-1], at[1:]
-        return pd.DataFrame({"sid": pdf["sid"].iloc[0], "run": pdf["run"].iloc[0], "us_a": t[a], "us_b": t[b], "k_a": v[a], "k_b": v[b], "n": b - a})
-
-    return valid_runs(series).select("sid", "run", "us", "event_id", "k").groupBy("sid", "run").applyInPandas(one, "sid long, run long, us_a long, us_b long, k_a double, k_b double, n long")
+        v, t, run = pdf["k"].to_numpy(), pdf["us"].to_numpy(), pdf["run"].to_numpy()
+        cut = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(v)]
+        a, b = [], []
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            at = [lo + k for k in swinging_door(v[lo:hi], eps)]
+            a += at[:-1]
+            b += at[1:]
+        a, b = np.array(a, int), np.array(b, int)
+        return pd.DataFrame({"sid": np.full(len(a), pdf["sid"].iloc[0]), "run": run[a], "us_a": t[a], "us_b": t[b], "k_a": v[a], "k_b": v[b], "n": b - a})
+
+    return valid_runs(series).select("sid", "run", "us", "event_id", "k").groupBy("sid").applyInPandas(one, "sid long, run long, us_a long, us_b long, k_a double, k_b double, n long")
 
 
 def segment_ramps(segments: DataFrame, delta: float, min_minutes: float) -> DataFrame:
