@@ -67,9 +67,9 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that repeat an earlier one, exactly or nearly."""
-    from gridsquall.llm.lines import dedup_lines
+    from gridsquall.llm.lines import WIDTH, dedup_lines
 
-    out = dedup_lines(table(spark, sf_dir, "documents"), counts=True)
+    out = dedup_lines(table(spark, sf_dir, "documents"), counts=True, width=WIDTH)
     return out.select("doc_id", "n_lines", "n_dropped", "text")
 
 
