@@ -18,6 +18,7 @@ class Tail:
     near_m: float = 5000.0
     cloud_speeds_ms: tuple[float, ...] = (10.0, 15.0, 20.0)
     permutations: int = 199
+    bootstraps: int = 100
     alpha: float = 0.05
     max_window_min: float = 30.0
 

@@ -40,6 +40,33 @@ def block_index(spark, days: int, block: int, replicates: int, *salt: Column) ->
     return pos.withColumn("src", ((start + F.col("pos") % block) % days).cast("long"))
 
 
+def day_masks(drawn: DataFrame, replicates: int) -> DataFrame:
+    """``sid, w, masks`` of ``b, pos, sid``: for 64 places a word, one bit mask for each replicate."""
+    bit = F.expr("shiftleft(1L, cast(pos % 64 AS int))")
+    words = drawn.groupBy("sid", F.floor(F.col("pos") / 64).cast("long").alias("w"), "b").agg(F.bit_or(bit).alias("m"))
+    found = words.groupBy("sid", "w").agg(F.map_from_entries(F.collect_list(F.struct(F.col("b").cast("int"), "m"))).alias("m"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0).cast("long")))
+    return found.select("sid", "w", each.alias("masks"))
+
+
+def joint_counts(left: DataFrame, right: DataFrame, pairs: DataFrame, replicates: int) -> DataFrame:
+    """``i, j, ks``: the places that the masks of both have set, one number for each replicate."""
+    a = left.select(F.col("sid").alias("i"), "w", F.col("masks").alias("a"))
+    b = right.select(F.col("sid").alias("j"), "w", F.col("masks").alias("b"))
+    word = pairs.join(a, "i").join(b, ["j", "w"]).select("i", "j", F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseAND(y))).alias("k"))
+    none = F.array_repeat(F.lit(0), replicates)
+    total = word.groupBy("i", "j").agg(F.aggregate(F.collect_list("k"), none, lambda s, k: F.zip_with(s, k, lambda x, y: x + y)).alias("ks"))
+    return pairs.join(total, ["i", "j"], "left").select("i", "j", F.coalesce("ks", none).alias("ks"))
+
+
+def sorted_percentile(values: Column, q: float, size: int) -> Column:
+    """The percentile of a sorted array of a known size, between neighbours in proportion."""
+    low = int((size - 1) * q)
+    part = (size - 1) * q - low
+    a, b = F.get(values, F.lit(low)), F.get(values, F.lit(min(low + 1, size - 1)))
+    return a + (b - a) * part
+
+
 def percentile_interval(value: str) -> list[Column]:
     q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
     return [F.get(q, F.lit(0)).alias("ci_low"), F.get(q, F.lit(1)).alias("ci_high")]

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from gridsquall.config import CONFIG
 from gridsquall.functions import numeric as N
 from gridsquall.functions.geo import haversine, metres_to_degrees
 from gridsquall.operators import evt, gates
@@ -41,34 +42,36 @@ def _(spark, d):
     return S.block_index(spark, _daily(spark, d).select("day").distinct().count(), 3, B)
 
 
-def _resampled_joint(spark, d, only_j: bool):
-    """Joint exceedances of each pair in each replicate; with ``only_j`` the days of i stay in place."""
+def _resampled_joint(spark, d, only_j: bool, replicates: int):
+    """``i, j, ks``, joint exceedances of each close pair in each replicate; with ``only_j`` the days of i stay in place."""
     m = _margins(spark, d)
     days = cut(_day_numbers(m))
     hot = cut(m.filter("u > 0.8").join(days, "day").select("sid", F.col("pos").alias("src")))
     n = days.count()
-    index = F.broadcast(S.block_index(spark, n, 3, B))  # B x days rows, days of a few years
-    drawn = hot.join(index, "src").select("b", "pos", "sid")
-    left = drawn if not only_j else hot.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(B - 1).cast("long"))).alias("b"), F.col("src").alias("pos"), "sid")
-    near = near_pairs(A.stations(A.events(spark, d)), 2500.0)
-    x = left.select("b", "pos", F.col("sid").alias("i")).join(near.select("i", "j"), "i").join(drawn.select("b", "pos", F.col("sid").alias("j")), ["b", "pos", "j"])
-    count = x.groupBy("i", "j", "b").agg(F.count(F.lit(1)).alias("k"))
-    all_b = near.select("i", "j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(B - 1).cast("long"))).alias("b"))
-    return all_b.join(count, ["i", "j", "b"], "left").select("i", "j", "b", F.coalesce("k", F.lit(0)).alias("k")), n
+    index = F.broadcast(S.block_index(spark, n, 3, replicates))  # replicates x days rows, days of a few years
+    drawn = S.day_masks(hot.join(index, "src").select("b", "pos", "sid"), replicates)
+    fixed = S.day_masks(hot.select(F.lit(0).alias("b"), F.col("src").alias("pos"), "sid"), 1)
+    left = fixed.select("sid", "w", F.array_repeat(F.get("masks", F.lit(0)), replicates).alias("masks")) if only_j else drawn
+    near = cut(near_pairs(A.stations(A.events(spark, d)), CONFIG.tail.near_m).select("i", "j"))
+    return S.joint_counts(left, drawn, near, replicates), n
 
 
 @query("D10_bootstrap_interval")
 def _(spark, d):
-    r, n = _resampled_joint(spark, d, False)
-    return r.withColumn("chi", T.chi(F.col("k"), F.lit(n), 0.8)).groupBy("i", "j").agg(*S.percentile_interval("chi"))
+    size = CONFIG.tail.bootstraps
+    r, n = _resampled_joint(spark, d, False, size)
+    chi = F.transform(F.sort_array("ks"), lambda k: T.chi(k, F.lit(n), 0.8))
+    r = r.select("i", "j", chi.alias("chi"))
+    return r.select("i", "j", S.sorted_percentile(F.col("chi"), 0.025, size).alias("ci_low"), S.sorted_percentile(F.col("chi"), 0.975, size).alias("ci_high"))
 
 
 @query("D11_permutation_p_value")
 def _(spark, d):
-    r, _ = _resampled_joint(spark, d, True)
-    obs = _chi(spark, d, 2500.0).select("i", "j", "n_joint")
-    p = r.join(obs, ["i", "j"]).groupBy("i", "j").agg(((1 + F.count_if(F.col("k") >= F.col("n_joint"))) / (B + 1.0)).alias("p"))
-    return T.benjamini_hochberg(p, "p")
+    size = CONFIG.tail.permutations
+    r, _ = _resampled_joint(spark, d, True, size)
+    obs = _chi(spark, d, CONFIG.tail.near_m).select("i", "j", "n_joint")
+    above = F.size(F.filter("ks", lambda k: k >= F.col("n_joint")))
+    return T.benjamini_hochberg(cut(r.join(obs, ["i", "j"]).select("i", "j", ((1 + above) / (size + 1.0)).alias("p"))), "p")
 
 
 @F.pandas_udf(DoubleType())
