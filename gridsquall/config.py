@@ -33,6 +33,12 @@ class Extremes:
     horizons_years: tuple[float, ...] = (0.25, 0.5, 1.0, 2.0)
 
 
+@dataclass(frozen=True)
+class Resampling:
+    replicates: int = 150
+    position_draws: int = 1000
+
+
 @dataclass(frozen=True)
 class Geometry:
     earth_radius_m: float = 6_371_000.0
@@ -44,6 +50,7 @@ class Config:
     ramps: Ramps = Ramps()
     tail: Tail = Tail()
     extremes: Extremes = Extremes()
+    resampling: Resampling = Resampling()
     geometry: Geometry = Geometry()
     seed: int = 42
     test_from: str = "2024-01-23"

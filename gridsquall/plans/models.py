@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType
 
 from gridsquall.config import CONFIG
 from gridsquall.functions import numeric as N
-from gridsquall.functions.geo import haversine, metres_to_degrees
+from gridsquall.functions.geo import metres_to_degrees
 from gridsquall.operators import evt, gates
 from gridsquall.operators import models as M
 from gridsquall.operators import rank as R
@@ -25,7 +25,7 @@ from gridsquall.session import cut
 from gridsquall.sources import adapters as A
 
 #: Replicates of the registered ensembles.
-B = 40
+B = CONFIG.resampling.replicates
 
 
 def _ramps(spark, d):
@@ -39,7 +39,7 @@ def _day_numbers(margins):
 
 @query("D9_moving_block_index")
 def _(spark, d):
-    return S.block_index(spark, _daily(spark, d).select("day").distinct().count(), 3, B)
+    return S.block_index(spark, _daily(spark, d).select("day").distinct().count(), 3, 40)
 
 
 def _resampled_joint(spark, d, only_j: bool, replicates: int):
@@ -169,20 +169,43 @@ def _(spark, d):
     return M.decay_curve(p.groupBy("bin").agg(F.avg("km").alias("km"), F.corr("x", "y").alias("r")), "km", "r")
 
 
+#: Stations in a tile of the position draws.
+TILE = 64
+
+
+def _tile_percentiles(pdf: pd.DataFrame) -> pd.DataFrame:
+    """``i, j, lo, mid, hi``: percentiles of the distances drawn between the stations of two tiles."""
+    radius = 2 * CONFIG.geometry.earth_radius_m
+    pdf = pdf.sort_values("sid")
+    la, lo = (np.radians(np.stack(pdf[c].to_list())) for c in ("la", "lo"))
+    sid, tile, cos = pdf["sid"].to_numpy(), pdf["tile"].to_numpy(), np.cos(la)
+    same = pdf["ta"].iloc[0] == pdf["tb"].iloc[0]
+    out = []
+    for k in range(len(sid) - 1):
+        o = np.arange(k + 1, len(sid))
+        o = o if same else o[tile[o] != tile[k]]
+        if len(o):
+            h = np.sin((la[o] - la[k]) / 2) ** 2 + cos[k] * cos[o] * np.sin((lo[o] - lo[k]) / 2) ** 2
+            q = np.percentile(radius * np.arcsin(np.sqrt(np.minimum(1.0, h))), [2.5, 50, 97.5], axis=1)
+            out.append(pd.DataFrame({"i": sid[k], "j": sid[o], "lo": q[0], "mid": q[1], "hi": q[2]}))
+    return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("i", "j", "lo", "mid", "hi")})
+
+
 @query("H11_position_uncertainty")
 def _(spark, d):
-    """Distance percentiles of close pairs when positions shift within their 150 m cells."""
-    s = A.stations(A.events(spark, d))
-    shift = lambda k, axis: (S.uniform(k, "b", F.lit(axis)) - 0.5) * 150.0
-    p = near_pairs(s, 5000.0).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(199))))
-    for k in ("i", "j"):
-        p = p.join(s.select(F.col("sid").alias(k), F.col("lat").alias(f"lat_{k}"), F.col("lon").alias(f"lon_{k}")), k)
-        dx, dy = metres_to_degrees(shift(k, "x"), shift(k, "y"), F.col(f"lat_{k}"))
-        p = p.withColumn(f"la_{k}", F.col(f"lat_{k}") + dy).withColumn(f"lo_{k}", F.col(f"lon_{k}") + dx)
-    p = p.withColumn("m", haversine(F.col("la_i"), F.col("lo_i"), F.col("la_j"), F.col("lo_j")))
-    q = p.groupBy("i", "j").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
-    ru = (F.get("q", F.lit(2)) - F.get("q", F.lit(0))) / F.get("q", F.lit(1))
-    return q.select("i", "j", F.get("q", F.lit(1)).alias("d_median"), ru.alias("ru"), (ru > 0.2).alias("flagged"))
+    """Distance percentiles of all pairs when positions shift within their 150 m cells."""
+    s = cut(A.stations(A.events(spark, d)))
+    tiles = max(1, -(-s.count() // TILE))
+    shift = lambda axis: (S.uniform("sid", "b", F.lit(axis)) - 0.5) * 150.0
+    draws = s.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(CONFIG.resampling.position_draws - 1))))
+    dx, dy = metres_to_degrees(shift("x"), shift("y"), F.col("lat"))
+    moved = draws.select("sid", F.struct("b", (F.col("lat") + dy).alias("la"), (F.col("lon") + dx).alias("lo")).alias("p"))
+    moved = cut(moved.groupBy("sid").agg(F.sort_array(F.collect_list("p")).alias("p")).select("sid", F.pmod(F.xxhash64("sid"), F.lit(tiles)).alias("tile"), F.col("p.la").alias("la"), F.col("p.lo").alias("lo")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")))
+    rows = moved.withColumn("o", other).select("sid", "tile", "la", "lo", F.least("tile", "o").alias("ta"), F.greatest("tile", "o").alias("tb"))
+    q = rows.groupBy("ta", "tb").applyInPandas(_tile_percentiles, "i long, j long, lo double, mid double, hi double")
+    ru = (F.col("hi") - F.col("lo")) / F.col("mid")
+    return q.select("i", "j", F.col("mid").alias("d_median"), ru.alias("ru"), (ru > 0.2).alias("flagged"))
 
 
 def _hourly(spark, d):
@@ -237,13 +260,13 @@ def _(spark, d):
 def _implied(spark, d, gaussian: bool):
     """Aggregate series with simulated partner steps added at the hours of extreme events."""
     m = matched(spark, d).select("i", "j", "us_i", "mag_i", (F.col("dist") / 1000).alias("km"))
-    m = m.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(B // 4 - 1).cast("long"))))
+    m = m.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(B - 1).cast("long"))))
     z = S.normal("b", "i", "j", "us_i")
     hit = S.uniform("b", "i", "j", "us_i", F.lit("m")) < 0.3 * F.exp(-F.col("km") / 3.5)
     rho = 0.6 * F.exp(-F.col("km") / 3.5)
     part = F.when(F.lit(gaussian), rho * F.col("mag_i") + F.sqrt(1 - rho * rho) * z * 0.2).otherwise(rho * F.col("mag_i") + F.pow("mag_i", F.lit(0.4)) * (0.05 + 0.1 * z))
     delta = m.filter(hit).groupBy("b", F.floor(F.col("us_i") / 3.6e9).cast("long").alias("t")).agg((F.sum(part) / 1000).alias("dk"))
-    base = _hourly(spark, d).select((F.col("day") * 24 + F.col("hour")).cast("long").alias("t"), "k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(B // 4 - 1).cast("long"))).alias("b"))
+    base = _hourly(spark, d).select((F.col("day") * 24 + F.col("hour")).cast("long").alias("t"), "k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(B - 1).cast("long"))).alias("b"))
     return base.join(delta, ["b", "t"], "left").select("b", "t", (F.col("k") + F.coalesce("dk", F.lit(0.0))).alias("k"))
 
 

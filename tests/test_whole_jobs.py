@@ -44,3 +44,26 @@ def test_replicates_of_all_close_pairs(spark):
     for i, j in pairs:
         k = (hot[i] & hot[j][src]).sum(1) if i in hot and j in hot else np.zeros(len(src))
         assert abs(got[i, j] - (1 + (k >= seen[i, j]).sum()) / 200) < 1e-12
+
+
+def test_positions_of_all_pairs(spark):
+    from gridsquall.functions.geo import haversine, metres_to_degrees
+    from pyspark.sql import functions as F
+
+    s = A.stations(A.events(spark, SF))
+    got = {(r.i, r.j): r for r in registry.QUERIES["H11_position_uncertainty"](spark, SF).collect()}
+    ids = sorted(r.sid for r in s.collect())
+    assert set(got) == {(i, j) for i in ids for j in ids if i < j}
+    x = s.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(999))))
+    dx, dy = metres_to_degrees(*((S.uniform("sid", "b", F.lit(a)) - 0.5) * 150.0 for a in "xy"), F.col("lat"))
+    x = x.select("sid", "b", (F.col("lat") + dy).alias("la"), (F.col("lon") + dx).alias("lo"))
+    x = x.alias("a").join(x.alias("c"), F.expr("a.b = c.b AND a.sid < c.sid"))
+    m = haversine(F.col("a.la"), F.col("a.lo"), F.col("c.la"), F.col("c.lo"))
+    q = F.percentile(m, F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    for r in x.groupBy(F.col("a.sid").alias("i"), F.col("c.sid").alias("j")).agg(q.alias("q")).collect():
+        assert np.isclose(got[r.i, r.j].d_median, r.q[1]) and np.isclose(got[r.i, r.j].ru, (r.q[2] - r.q[0]) / r.q[1], rtol=1e-6)
+
+
+def test_replicates_of_the_ensembles(spark):
+    levels = registry.QUERIES["H14_model_implied_ensemble"](spark, SF)
+    assert levels.select("b").distinct().count() == 150
