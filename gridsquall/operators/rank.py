@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridsquall.session import cut
+
 
 def laplace(u: Column) -> Column:
     return F.when(u >= 0.5, -F.log(2 * (1 - u))).otherwise(F.log(2 * u))
@@ -52,3 +54,14 @@ def average_rank(value: str, *keys: str) -> Column:
     """Rank with ties at their mean."""
     w = Window.partitionBy(*keys)
     return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2.0
+
+
+def numbered_sort(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` in ranges of the order, with ``pos`` from 1: places in a range plus the rows of the ranges before."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    rows = cut(rows).withColumn("_r", F.shiftright("_m", 33))
+    sizes = rows.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    pos = F.col("_base") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(bases), "_r").withColumn("pos", pos).drop("_r", "_m", "_base")

@@ -414,3 +414,9 @@ def _(spark, d):
     """The 500 largest ramps in order (a top-k report)."""
     top = A.ramps(A.events(spark, d)).orderBy(F.desc("mag"), "event_id").limit(500)
     return top.select("event_id", F.row_number().over(Window.orderBy(F.desc("mag"), "event_id")).cast("long").alias("pos"))
+
+
+@query("E18_full_sort", sql("SELECT event_id, row_number() OVER (ORDER BY mag DESC, event_id) AS pos FROM ramps"))
+def _(spark, d):
+    """All ramps in order; ``E18_sort`` is the report of the 500 largest."""
+    return R.numbered_sort(A.ramps(A.events(spark, d)).select("event_id", "mag"), F.desc("mag"), F.asc("event_id")).select("event_id", "pos")

@@ -67,3 +67,17 @@ def test_positions_of_all_pairs(spark):
 def test_replicates_of_the_ensembles(spark):
     levels = registry.QUERIES["H14_model_implied_ensemble"](spark, SF)
     assert levels.select("b").distinct().count() == 150
+
+
+def test_sort_of_all_ramps(spark):
+    from gridsquall.operators.rank import numbered_sort
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(5000).withColumn("v", F.xxhash64("id") % 50)
+        got = sorted((r.pos, r.v, r.id) for r in numbered_sort(rows, F.desc("v"), F.asc("id")).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [p for p, _, _ in got] == list(range(1, 5001)) and [x[1:] for x in got] == sorted((x[1:] for x in got), key=lambda x: (-x[0], x[1]))
+    assert registry.QUERIES["E18_full_sort"](spark, SF).count() == A.ramps(A.events(spark, SF)).count() > 500
