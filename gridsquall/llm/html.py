@@ -40,6 +40,8 @@ HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|visibility\s*:\s*hidden|aria
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select head".split())
+#: Those whose content is text by the HTML rules, so that without an end tag the rest of the page is theirs.
+TEXT_ONLY = frozenset("script style textarea title iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
@@ -55,6 +57,7 @@ class Page:
         self.tag, self.tokens, self.parent, self.depth, self.tags = ["#"], [()], [-1], [0], [0]
         self.text: list[tuple[int, str, bool]] = []  # element, text, inside a link
         self.controls = [0]
+        self.implied = -1  # a body element without a tag
         stack: list[tuple[str, int]] = [("#", 0)]  # open tags with the block element they are in
         links, at, n = 0, 0, len(source)
 
@@ -71,11 +74,22 @@ class Page:
                 if stack[k][0] in stop:
                     return
 
+        def body(parent: int) -> int:
+            """The body element, added where its tag is left out."""
+            if "body" not in self.tag:
+                self.implied = len(self.tag)
+                for values, x in ((self.tag, "body"), (self.tokens, ()), (self.parent, parent), (self.depth, self.depth[parent] + 1), (self.tags, 0), (self.controls, 0)):
+                    values.append(x)
+            return self.tag.index("body")
+
         while at < n:
             m = TOKEN.search(source, at)
             chunk = source[at : m.start() if m else n]
             if chunk:
-                self.text.append((stack[-1][1], entities.unescape(chunk), links > 0))
+                block = stack[-1][1]
+                if self.tag[block] in ("#", "html") and chunk.strip():
+                    block = body(block)
+                self.text.append((block, entities.unescape(chunk), links > 0))
             if not m:
                 break
             at = m.end()
@@ -92,7 +106,7 @@ class Page:
                 continue
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at) if not m[3].endswith("/") else None
-                at = end.end() if end else (at if tag in ("head", "object", "svg", "math") or m[3].endswith("/") else n)
+                at = end.end() if end else (n if tag in TEXT_ONLY and not m[3].endswith("/") else at)
                 self.controls[block] += tag in CONTROLS
                 continue
             if tag in CLOSES_P:
@@ -214,7 +228,7 @@ class Extractor:
             n = len(p.tag)
             kept = decode(p, z[at : at + n])
             bare = n == 1 or not any(t != "html" and t != "body" for t in p.tag[1:])
-            out.append(" ".join(t for k, t in p.blocks() if kept[k] and (bare or p.tag[k] not in ("#", "html"))))
+            out.append(" ".join(t for k, t in p.blocks() if kept[k] or bare and k == p.implied))
             at += n
         return out
 

@@ -19,6 +19,21 @@ def test_reading_of_loose_markup():
     assert H.Page("").blocks() == [] and H.Page("<div>" * 5000 + "deep").blocks()[0][1] == "deep"
 
 
+@pytest.mark.parametrize("tag", ["noscript", "select", "template", "canvas"])
+def test_an_unclosed_tag_leaves_the_rest(tag):
+    assert [t for _, t in H.Page(f"<body><p>one<{tag}><p>two</body>").blocks()] == ["one", "two"]
+    assert [t for _, t in H.Page("<body><p>one<script><p>two</body>").blocks()] == ["one"]
+
+
+def test_text_under_html_is_of_the_body(extractor):
+    p = H.Page("<html>one<p>two</p>three</html>")
+    assert [(p.tag[k], t) for k, t in p.blocks()] == [("body", "one"), ("p", "two"), ("body", "three")]
+    p = H.Page("<html><body><p>two</p></body>three</html>")
+    assert [(p.tag[k], t) for k, t in p.blocks()] == [("p", "two"), ("body", "three")] and p.tag.count("body") == 1
+    prose = "One long sentence of plain words, with a comma and an end. " * 12
+    assert prose.strip() in extractor.texts([f"<html>{prose}<p>{prose}</p></html>"])[0]
+
+
 def test_decoding_is_the_best_consistent_choice():
     rng = np.random.default_rng(0)
     for _ in range(40):
