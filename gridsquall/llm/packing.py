@@ -23,7 +23,6 @@ for itself; an empty table gives no row; columns besides the named ones are igno
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -206,29 +205,25 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_i
     Only documents of more than ``capacity`` ids are cut; their first piece takes the
     remainder, all others are full.
     """
-    end = struct.pack("<I", end_id)
     key = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(tokenizer)
         for batch in runs(batches, 1):
-            take, piece, start, length, crc, ids = [], [], [], [], [], []
-            for k, x in enumerate(encoder.encode(batch.column(1).to_pylist())):
-                x += end
-                n = len(x) // 4
-                a, p = 0, 0
-                while a < n:
-                    z = min(n, a + ((n % capacity or capacity) if p == 0 and n > capacity else capacity))
-                    own = x[4 * a : 4 * z]
-                    take.append(k)
-                    piece.append(p)
-                    start.append(a)
-                    length.append(z - a)
-                    crc.append(zlib.crc32(own))
-                    if with_ids:
-                        ids.append(own)
-                    a, p = z, p + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())] + ([pa.array(ids, pa.binary())] if with_ids else []), names=[id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+            ids, bounds = encoder.encode(batch.column(1))
+            flat = memoryview(np.insert(ids, bounds[1:], end_id).astype("<u4")).cast("B")
+            bounds = bounds + np.arange(len(bounds))
+            total = np.diff(bounds)
+            count = -(-total // capacity)
+            take = np.repeat(np.arange(len(total)), count)
+            piece = np.arange(len(take)) - np.repeat(np.cumsum(count) - count, count)
+            first = np.where(count > 1, (total - 1) % capacity + 1, total)[take]
+            start = np.where(piece > 0, first + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, first)
+            at = 4 * (bounds[:-1][take] + start)
+            own = [flat[a:z] for a, z in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+            columns = [batch.column(0).take(pa.array(take)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in own], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(own, pa.binary())] if with_ids else []), names=[id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
     return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {key}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 

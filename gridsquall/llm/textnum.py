@@ -73,15 +73,20 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.first))
 
 
-def read(col: pa.Array, table: np.ndarray) -> Words:
-    """The words of a string column; a null counts as empty."""
+def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a string column, end to end, and where each text begins, and the end; null counts as empty."""
     col = col.fill_null("").cast(pa.large_string())
     if col.offset:
         col = pa.concat_arrays([col])
     offsets = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, 8 * col.offset)
     data = col.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(data) else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0]
+    return raw, offsets - offsets[0]
+
+
+def read(col: pa.Array, table: np.ndarray) -> Words:
+    """The words of a string column; a null counts as empty."""
+    raw, offsets = flat(col)
     codes = table[raw]
     inside = codes != 0
     before = np.concatenate(([False], inside[:-1]))
