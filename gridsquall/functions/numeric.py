@@ -146,7 +146,7 @@ def return_level(u: float, sigma: float, xi: float, rate: float, years: float) -
 def ferro_segers(gaps) -> float:
     """Extremal index by the intervals estimator."""
     t = np.asarray(gaps, float)
-    if len(t) < 5:
+    if len(t) < 4 or t.sum() == 0:
         return 1.0
     if t.max() <= 2:
         num, den = 2 * t.sum() ** 2, len(t) * (t * t).sum()
@@ -165,6 +165,46 @@ def decluster(times, sizes, run: float) -> np.ndarray:
     return np.sort(order[first])
 
 
+def swinging_doors(v: np.ndarray, first: np.ndarray, eps: float, few: int = 16) -> np.ndarray:
+    """Marks the break points of many runs, which begin at ``first`` (and the end), in ``v``.
+
+    All runs take a step at once, the longest first, until only a ``few`` are left; those
+    go on one by one.
+    """
+    out = np.zeros(len(v), bool)
+    start, size = first[:-1], np.diff(first)
+    out[start[size > 0]] = True
+    out[(first[1:] - 1)[size > 0]] = True
+    order = np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
+    longest = int(size.max(initial=0))
+    live = np.searchsorted(-size, -np.arange(longest), "left")  # runs of more than k samples
+    pivot, low, high = start.copy(), np.full(len(start), -np.inf), np.full(len(start), np.inf)
+    k = 1
+    while k < longest and live[k] >= few:
+        m = live[k]
+        at, p = start[:m] + k, pivot[:m]
+        a = np.maximum(low[:m], (v[at] - eps - v[p]) / (at - p))
+        b = np.minimum(high[:m], (v[at] + eps - v[p]) / (at - p))
+        shut = np.flatnonzero(b < a)
+        if len(shut):
+            now = at[shut]
+            out[now - 1] = True
+            p[shut] = now - 1
+            a[shut], b[shut] = v[now] - eps - v[now - 1], v[now] + eps - v[now - 1]
+        low[:m], high[:m] = a, b
+        k += 1
+    for r in range(live[k] if k < longest else 0):
+        p, a, b = int(pivot[r]), float(low[r]), float(high[r])
+        for at in range(int(start[r]) + k, int(start[r] + size[r])):
+            a, b = max(a, (v[at] - eps - v[p]) / (at - p)), min(b, (v[at] + eps - v[p]) / (at - p))
+            if b < a:
+                p = at - 1
+                out[p] = True
+                a, b = v[at] - eps - v[p], v[at] + eps - v[p]
+    return out
+
+
 def swinging_door(v, eps: float) -> list[int]:
     """Break points, the ends included, of a piecewise linear line within ``eps`` of the samples."""
     v = np.asarray(v, float)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridsquall.functions.numeric import swinging_door
+from gridsquall.functions.numeric import swinging_doors
 
 
 def valid_runs(series: DataFrame) -> DataFrame:
@@ -31,23 +31,32 @@ def decluster_runs(events: DataFrame, key: str, us: str, mag: str, run_min: floa
 def sdt_segments(series: DataFrame, eps: float) -> DataFrame:
     """Swinging-door segments ``sid, run, us_a, us_b, k_a, k_b, n`` of each run of valid values.
 
-    The door's state makes this sequential within a run, so a station is a group of a
-    pandas function: a group for each run would cost more in calls than in work.
+    The door's state makes this sequential within a run.  The window that numbers the runs
+    has brought each station's rows together in order, so the runs of a batch of rows are
+    worked on together, and only a run that the batch cuts off is carried to the next.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "event_id"])
-        v, t, run = pdf["k"].to_numpy(), pdf["us"].to_numpy(), pdf["run"].to_numpy()
-        cut = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(v)]
-        a, b = [], []
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            at = [lo + k for k in swinging_door(v[lo:hi], eps)]
-            a += at[:-1]
-            b += at[1:]
-        a, b = np.array(a, int), np.array(b, int)
-        return pd.DataFrame({"sid": np.full(len(a), pdf["sid"].iloc[0]), "run": run[a], "us_a": t[a], "us_b": t[b], "k_a": v[a], "k_b": v[b], "n": b - a})
-
-    return valid_runs(series).select("sid", "run", "us", "event_id", "k").groupBy("sid").applyInPandas(one, "sid long, run long, us_a long, us_b long, k_a double, k_b double, n long")
+    def segments(sid: np.ndarray, run: np.ndarray, us: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.concatenate(([True], (sid[1:] != sid[:-1]) | (run[1:] != run[:-1]), [True])))
+        at = np.flatnonzero(swinging_doors(v, first, eps))
+        inner = np.flatnonzero((sid[at[1:]] == sid[at[:-1]]) & (run[at[1:]] == run[at[:-1]]))
+        a, b = at[inner], at[inner + 1]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (sid[a], run[a], us[a], us[b], v[a], v[b], b - a)], names=["sid", "run", "us_a", "us_b", "k_a", "k_b", "n"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            own = [np.asarray(batch.column(k)) for k in range(4)]
+            held = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
+            new = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0))
+            if len(new):
+                yield segments(*(x[: new[-1] + 1] for x in held))
+                held = [x[new[-1] + 1 :] for x in held]
+        if held is not None and len(held[0]):
+            yield segments(*held)
+
+    rows = valid_runs(series).sortWithinPartitions("sid", "us", "event_id").select("sid", "run", "us", "k")
+    return rows.mapInArrow(work, "sid long, run long, us_a long, us_b long, k_a double, k_b double, n long")
 
 
 def segment_ramps(segments: DataFrame, delta: float, min_minutes: float) -> DataFrame:
@@ -65,13 +74,3 @@ def rolling_crossing(series: DataFrame, rows: int = 30, least: int = 21, level:
     w = Window.partitionBy("sid", "day").orderBy("us", "event_id").rowsBetween(1 - rows, 0)
     r = series.withColumn("day", day).withColumn("mean", F.when(F.count("k").over(w) >= least, F.avg("k").over(w)))
     return r.filter(F.col("mean") > level).groupBy("sid", "day").agg(F.min("us").alias("t_us"))
-
-
-def apply_batches(df: DataFrame, f, schema: str) -> DataFrame:
-    """``f`` on each Arrow batch as pandas."""
-
-    def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            yield f(pdf)
-
-    return df.mapInPandas(work, schema)

@@ -17,21 +17,21 @@ def gaps(events: DataFrame, key: str = "sid", us: str = "start_us") -> DataFrame
 
 
 def extremal_index(events: DataFrame) -> DataFrame:
-    """``sid, n, theta`` by the intervals estimator; 1 for fewer than five gaps."""
+    """``sid, n, theta`` by the intervals estimator; 1 for fewer than five events, for gaps that are all 0, and where it is not defined."""
     t = F.col("t").cast("double")
     n = F.count(F.lit(1))
     short = F.try_divide(2 * F.pow(F.sum(t), F.lit(2)), n * F.sum(t * t))
     long = F.try_divide(2 * F.pow(F.sum(t - 1), F.lit(2)), n * F.sum((t - 1) * (t - 2)))
-    theta = F.when(n < 5, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(F.max("t") <= 2, short).otherwise(long))))
+    theta = F.when((n < 4) | (F.sum(t) == 0), 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.when(F.max("t") <= 2, short).otherwise(long), F.lit(1.0))))
     return gaps(events).groupBy("sid").agg((n + 1).alias("n"), theta.alias("theta"))
 
 
 def choose_run_length(events: DataFrame, step_min: int = 60, candidates: int = CONFIG.extremes.run_lengths) -> DataFrame:
-    """The first run length whose number of clusters comes nearest to n times theta."""
+    """The first run length whose number of clusters comes nearest to n times theta, but at least 1."""
     r = F.explode(F.sequence(F.lit(step_min), F.lit(step_min * candidates), F.lit(step_min))).alias("r")
     clusters = gaps(events).select("sid", "t", r).groupBy("sid", "r").agg((1 + F.count_if(F.col("t") > F.col("r"))).alias("clusters"))
     x = clusters.join(extremal_index(events), "sid")
-    return x.groupBy("sid").agg(F.min_by(F.col("r").cast("long"), F.struct(F.abs(F.col("clusters") - F.round(F.col("n") * F.col("theta"))), F.col("r"))).alias("run_min"))
+    return x.groupBy("sid").agg(F.min_by(F.col("r").cast("long"), F.struct(F.abs(F.col("clusters") - F.greatest(F.lit(1.0), F.round(F.col("n") * F.col("theta")))), F.col("r"))).alias("run_min"))
 
 
 def select_threshold(x: np.ndarray) -> tuple[float, float]:
@@ -68,7 +68,7 @@ def fit_peaks(minutes: np.ndarray, x: np.ndarray, adaptive: bool = True) -> dict
     gap = np.floor(np.diff(t))
     theta = N.ferro_segers(gap)
     runs = 60 * np.arange(1, c.run_lengths + 1)
-    run = int(runs[np.argmin([abs(1 + (gap > r).sum() - round(len(y) * theta)) for r in runs])])
+    run = int(runs[np.argmin([abs(1 + (gap > r).sum() - max(1, round(len(y) * theta))) for r in runs])])
     top = N.decluster(t, y, run)
     f = N.fit_gpd(y[top] - u)
     out |= {"theta": theta, "run_min": run, "n_declustered": len(top), "xi": f["xi"], "sigma": f["sigma"], "se_xi": f["se_xi"], "nll": f["nll"], "converged": f["converged"]}

@@ -56,15 +56,16 @@ def match_events(pairs: DataFrame, events: DataFrame, others: DataFrame, window_
 
     ``found``, ``us_j``, ``mag_j``, ``dir_j`` describe it; ``any_extreme`` tells whether any
     partner in the window exceeds ``u_j``.  Windows are at most 30 minutes, the bucket width.
+    The events of ``j`` are the small side: each bucket's list holds those of its neighbours,
+    too, so the pairs' events meet one list each and need no second shuffle.
     """
     width = 1_800_000_000
     e = events.select(F.col("sid").alias("i"), F.col("event_id").alias("event_i"), F.col("start_us").alias("us_i"), F.col("mag").alias("mag_i"))
     o = others.select(F.col("sid").alias("j"), F.col("start_us").alias("us_j"), F.col("mag").alias("mag_j"), F.col("direction").alias("dir_j"), F.col("event_id").alias("event_j"), F.col("u").alias("u_j"))
-    left = bucketed(pairs.withColumn("window_us", window_us).join(e, "i"), "us_i", width, True)
-    near = left.join(bucketed(o, "us_j", width, False), ["j", "_bucket"]).filter(F.abs(F.col("us_i") - F.col("us_j")) <= F.col("window_us"))
-    best = near.groupBy("i", "j", "event_i").agg(
-        F.min_by(F.struct("us_j", "mag_j", "dir_j"), F.struct(F.abs(F.col("us_i") - F.col("us_j")), F.col("us_j"), F.col("event_j"))).alias("m"),
-        F.max(F.col("mag_j") > F.col("u_j")).alias("any_extreme"),
-    )
-    base = pairs.join(e, "i")
-    return base.join(best, ["i", "j", "event_i"], "left").select(*base.columns, F.col("m").isNotNull().alias("found"), "m.*", F.coalesce("any_extreme", F.lit(False)).alias("any_extreme"))
+    lists = bucketed(o, "us_j", width, True).groupBy("j", "_bucket").agg(F.collect_list(F.struct("us_j", "event_j", "mag_j", "dir_j", "u_j")).alias("_o"))
+    base = pairs.withColumn("window_us", window_us).join(e, "i")
+    apart = lambda r: F.abs(F.col("us_i") - r["us_j"])
+    near = bucketed(base, "us_i", width, False).join(lists, ["j", "_bucket"], "left").withColumn("_o", F.filter("_o", lambda r: apart(r) <= F.col("window_us")))
+    best = F.array_min(F.transform("_o", lambda r: F.struct(apart(r).alias("gap"), r["us_j"].alias("us_j"), r["event_j"].alias("event_j"), r["mag_j"].alias("mag_j"), r["dir_j"].alias("dir_j"))))
+    near = near.withColumn("_m", best).withColumn("any_extreme", F.coalesce(F.exists("_o", lambda r: r["mag_j"] > r["u_j"]), F.lit(False)))
+    return near.select(*pairs.columns, "event_i", "us_i", "mag_i", F.col("_m").isNotNull().alias("found"), "_m.us_j", "_m.mag_j", "_m.dir_j", "any_extreme")

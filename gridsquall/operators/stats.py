@@ -21,11 +21,18 @@ def normal_two_sided(z: pd.Series) -> pd.Series:
     return pd.Series(2 * norm_cdf(-z.abs().to_numpy(dtype=float)))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r; null where x or y does not vary."""
+    return F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))
+
+
 def regression(x: str, y: str) -> list[Column]:
-    """n, r, slope, intercept, r2 and the slope's standard error of y on x."""
+    """n, r, slope, intercept, r2 and the slope's standard error of y on x; null where they are not defined."""
     n = F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1))
-    sxx, r2 = F.regr_sxx(y, x), F.regr_r2(y, x)
-    return [n.alias("n"), F.corr(x, y).alias("r"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), r2.alias("r2"), F.sqrt((1 - r2) * F.regr_syy(y, x) / sxx / (n - 2)).alias("slope_se")]
+    sxx, sxy, syy = F.regr_sxx(y, x), F.regr_sxy(y, x), F.regr_syy(y, x)
+    slope, r2 = F.try_divide(sxy, sxx), F.try_divide(sxy * sxy, sxx * syy)
+    se = F.sqrt(F.try_divide(F.try_divide((1 - r2) * syy, sxx), F.when(n > 2, n - 2)))
+    return [n.alias("n"), correlation(x, y).alias("r"), slope.alias("slope"), (F.regr_avgy(y, x) - slope * F.regr_avgx(y, x)).alias("intercept"), r2.alias("r2"), se.alias("slope_se")]
 
 
 def mann_whitney(df: DataFrame, key: list[str], group: str, value: str) -> DataFrame:

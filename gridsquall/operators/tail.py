@@ -26,11 +26,14 @@ def uniform_margins(daily: DataFrame) -> DataFrame:
 
 
 def joint_exceedance(margins: DataFrame, pairs: DataFrame, q: float) -> DataFrame:
-    """``i, j, dist, n, n_joint``; pairs without a joint day keep a 0."""
+    """``i, j, dist, n, n_joint``; pairs without a joint day keep a 0.
+
+    The pairs come first, so that only days of stations that are asked for meet.
+    """
     n = margins.agg(F.countDistinct("day").alias("n"))  # one row
     hot = margins.filter(F.col("u") > q)
     a, b = hot.select(F.col("sid").alias("i"), "day"), hot.select(F.col("sid").alias("j"), "day")
-    joint = a.join(b, "day").filter("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("n_joint"))
+    joint = a.join(pairs.select("i", "j"), "i").join(b, ["j", "day"]).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n_joint"))
     return pairs.select("i", "j", "dist").join(joint, ["i", "j"], "left").crossJoin(F.broadcast(n)).withColumn("n_joint", F.coalesce("n_joint", F.lit(0)))
 
 
@@ -62,5 +65,5 @@ def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
 
 
 def poisson_null(n: Column, span_min: Column, window_min: Column) -> Column:
-    """Chance that a random partner falls within the window on either side."""
-    return 1 - F.exp(-n / span_min * 2 * window_min)
+    """Chance that a random partner falls within the window on either side; null without a span."""
+    return 1 - F.exp(-F.try_divide(n.cast("double"), span_min) * 2 * window_min)

@@ -15,6 +15,7 @@ from gridsquall.operators import evt, gates
 from gridsquall.operators import models as M
 from gridsquall.operators import rank as R
 from gridsquall.operators import resample as S
+from gridsquall.operators import stats as statistics
 from gridsquall.operators import tail as T
 from gridsquall.operators.pairs import near_pairs, pair_distances
 from gridsquall.plans.joins import NEAR, THRESH, matched
@@ -120,8 +121,8 @@ def _(spark, d):
 
 def _stage1(spark, d):
     r = _ramps(spark, d)
-    rate = r.groupBy(F.col("sid").alias("j")).agg((F.count(F.lit(1)) / ((F.max("start_us") - F.min("start_us")) / 6e7)).alias("lam"))
-    m = matched(spark, d).join(rate, "j")
+    rate = r.groupBy(F.col("sid").alias("j")).agg(F.try_divide(F.count(F.lit(1)).cast("double"), (F.max("start_us") - F.min("start_us")) / 6e7).alias("lam"))
+    m = matched(spark, d).join(rate.filter("lam IS NOT NULL"), "j")
     p = 1 - F.exp(-F.col("lam") * 2 * F.least(F.col("dist") / 15.0 / 60, F.lit(30.0)))
     p = F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4))
     return cut(m.select("i", "j", F.col("found").cast("int").alias("y"), (F.col("dist") / 1000).alias("km"), R.logit(p).alias("off")))
@@ -166,7 +167,7 @@ def _(spark, d):
 @query("H10_decay_curve_fit")
 def _(spark, d):
     p = _laplace_pairs(spark, d).withColumn("bin", F.floor(F.col("km") / 0.5))
-    return M.decay_curve(p.groupBy("bin").agg(F.avg("km").alias("km"), F.corr("x", "y").alias("r")), "km", "r")
+    return M.decay_curve(p.groupBy("bin").agg(F.avg("km").alias("km"), statistics.correlation("x", "y").alias("r")), "km", "r")
 
 
 #: Stations in a tile of the position draws.
@@ -224,7 +225,7 @@ def _return_levels(series, key: str):
     f = evt.fit_marginals(e, [key], adaptive=False)
     years = F.explode(F.array(*map(F.lit, (0.1, 0.25, 0.5, 1.0)))).alias("years")
     span = e.groupBy(key).agg(((F.max("start_us") - F.min("start_us")) / 3.15576e13).alias("span"))
-    n = F.col("n_declustered") / F.col("span") * F.col("years")
+    n = F.try_divide(F.col("n_declustered").cast("double"), F.col("span")) * F.col("years")
     return f.join(span, key).select("*", years).withColumn("z", R.return_level(F.col("threshold_u"), F.col("sigma"), F.col("xi"), n)).select(key, "years", "z", "xi", "sigma", "converged", "reason")
 
 
@@ -313,7 +314,7 @@ def _(spark, d):
     z = _margins(spark, d).select("sid", "day", _normal_score("u").alias("z"))
     near = near_pairs(A.stations(A.events(spark, d)), 5000.0)
     a = z.select(F.col("sid").alias("i"), "day", F.col("z").alias("a")).join(near.select("i", "j"), "i")
-    r = a.join(z.select(F.col("sid").alias("j"), "day", F.col("z").alias("b")), ["j", "day"]).groupBy("i", "j").agg(F.corr("a", "b").alias("rho"))
+    r = a.join(z.select(F.col("sid").alias("j"), "day", F.col("z").alias("b")), ["j", "day"]).groupBy("i", "j").agg(statistics.correlation("a", "b").alias("rho"))
     c = _chi(spark, d, 5000.0).select("i", "j", T.chi(F.col("n_joint"), F.col("n"), 0.8).alias("chi"))
     return c.join(r, ["i", "j"]).withColumn("chi_gauss", _chi_gauss("rho")).withColumn("gap", F.col("chi") - F.col("chi_gauss"))
 

@@ -162,7 +162,7 @@ AVG_RANK = "rank() OVER (PARTITION BY sid ORDER BY {0}) + (count(*) OVER (PARTIT
 @query("D16_spearman", sql("SELECT sid, round(corr(a, b), 5) AS rho FROM (SELECT sid, " + AVG_RANK.format("mag") + " AS a, " + AVG_RANK.format("duration_min") + " AS b FROM ramps) GROUP BY sid HAVING count(*) > 2"))
 def _(spark, d):
     r = A.ramps(A.events(spark, d)).select("sid", R.average_rank("mag", "sid").alias("a"), R.average_rank("duration_min", "sid").alias("b"))
-    return r.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("a", "b"), 5).alias("rho")).filter("n > 2").drop("n")
+    return r.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.round(S.correlation("a", "b"), 5).alias("rho")).filter("n > 2").drop("n")
 
 
 @query("D17_mann_whitney", sql("SELECT sid, count(*) FILTER (g=1) AS n1, count(*) FILTER (g=0) AS n0, round(sum(r) FILTER (g=1) - count(*) FILTER (g=1)*(count(*) FILTER (g=1)+1)/2, 4) AS u FROM (SELECT sid, (direction='up')::INT AS g, " + AVG_RANK.format("mag") + " AS r FROM ramps) GROUP BY sid HAVING count(*) FILTER (g=1) > 0"))
@@ -332,10 +332,10 @@ def _(spark, d):
 
 
 GAPS = "gaps AS (SELECT sid, (start_us - lag(start_us) OVER (PARTITION BY sid ORDER BY start_us, event_id)) // 60000000 AS t FROM ramps)"
-THETA = GAPS + """, theta AS (SELECT sid, count(t) + 1 AS n, CASE WHEN count(t) < 5 THEN 1.0 ELSE least(1.0, greatest(0.0, CASE WHEN max(t) <= 2 THEN 2*power(sum(t), 2)/(count(t)*sum(t*t)) ELSE 2*power(sum(t-1), 2)/(count(t)*sum((t-1)*(t-2))) END)) END AS theta FROM gaps WHERE t IS NOT NULL GROUP BY sid)"""
+THETA = GAPS + """, theta AS (SELECT sid, count(t) + 1 AS n, CASE WHEN count(t) < 4 OR sum(t) = 0 THEN 1.0 ELSE least(1.0, coalesce(CASE WHEN max(t) <= 2 THEN 2*power(sum(t), 2)/nullif(count(t)*sum(t*t), 0) ELSE 2*power(sum(t-1), 2)/nullif(count(t)*sum((t-1)*(t-2)), 0) END, 1.0)) END AS theta FROM gaps WHERE t IS NOT NULL GROUP BY sid)"""
 
 
-@query("E7_run_length_choice", sql("SELECT sid, arg_min(r, (abs(clusters - target), r)) AS run_min FROM (SELECT g.sid, c.r*60 AS r, 1 + count(*) FILTER (g.t > c.r*60) AS clusters, round(any_value(h.n*h.theta)) AS target FROM gaps g JOIN theta h USING (sid), range(1, 20) c(r) WHERE g.t IS NOT NULL GROUP BY 1, 2) GROUP BY sid", THETA))
+@query("E7_run_length_choice", sql("SELECT sid, arg_min(r, (abs(clusters - target), r)) AS run_min FROM (SELECT g.sid, c.r*60 AS r, 1 + count(*) FILTER (g.t > c.r*60) AS clusters, greatest(1, round(any_value(h.n*h.theta))) AS target FROM gaps g JOIN theta h USING (sid), range(1, 20) c(r) WHERE g.t IS NOT NULL GROUP BY 1, 2) GROUP BY sid", THETA))
 def _(spark, d):
     from gridsquall.operators.evt import choose_run_length
 

@@ -14,7 +14,7 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/gridsquall-{kind}-{uuid.uuid4().hex}"
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ",", comment: str | None = None) -> None:
+def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.option("header", True).option("sep", sep).csv(path)
 
 
@@ -84,3 +84,23 @@ def discovered(events: DataFrame) -> DataFrame:
     found = events.sparkSession.read.option("recursiveFileLookup", True).schema(events.schema).parquet(path)
     kind = F.regexp_extract(F.col("_metadata.file_path"), "kind=([^/]+)", 1)
     return found.withColumn("kind", kind).filter("kind <> 'error'")
+
+
+def station_of_grid(grid: DataFrame, index: int) -> DataFrame:
+    """One station's ``value`` from rows with ``values`` of all stations; rows where it is not finite go."""
+    v = F.get("values", F.lit(index))
+    return grid.withColumn("value", v).drop("values").filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+
+
+def read_json_arrays(spark: SparkSession, path: str, keep: dict[str, tuple[str, str]]) -> DataFrame:
+    """Files with one JSON array of objects each: the fields of ``keep``, renamed and read as a type or null."""
+    raw = spark.read.schema(", ".join(f"`{c}` string" for c in keep)).option("multiLine", True).json(path)
+    return raw.select(*(F.expr(f"try_cast(`{c}` AS {kind})").alias(name) for c, (name, kind) in keep.items()))
+
+
+def json_array_round_trip(rows: DataFrame, keep: dict[str, tuple[str, str]]) -> DataFrame:
+    """``part, r``: the structs of each part as one file with a JSON array, read back."""
+    path = new_path(rows.sparkSession, "arrays")
+    one = rows.groupBy("part").agg(F.to_json(F.collect_list("r")).alias("value"))
+    one.repartition("part").write.partitionBy("part").text(path)
+    return read_json_arrays(rows.sparkSession, path, keep)
