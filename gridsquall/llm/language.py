@@ -85,11 +85,17 @@ def emissions(w: textnum.Words, weights: np.ndarray) -> np.ndarray:
 def posteriors(e: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Label probabilities of each word, by forward-backward in every text at once.
 
-    ``first`` holds the number of each text's first word, and the number of words.
+    ``first`` holds the number of each text's first word, and the number of words.  Before
+    a text's first word stands one of no content, whose label is free.
     """
+    return forward_backward(e, trans, first)[0]
+
+
+def forward_backward(e: np.ndarray, trans: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word the label probabilities given its whole text, and given the words up to it."""
     n, k = e.shape
     if not n:
-        return e
+        return e, e
     pot = np.exp(e - e.max(1, keepdims=True))
     step = np.exp(trans - trans.max())
     words = np.diff(first)
@@ -127,6 +133,7 @@ def posteriors(e: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarra
         m = live[t]
         a[:m] = unit((a[:m] @ step) * pot[start[:m] + t])
         alpha[start[:m] + t] = a[:m]
+    forward = alpha.copy()
     b = right
     for t in range(int(size[0]) - 1, -1, -1):
         m = live[t]
@@ -134,7 +141,18 @@ def posteriors(e: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarra
         now = b[:m].copy()
         b[:m] = unit((pot[at] * now) @ step.T)
         alpha[at] = unit(alpha[at] * now)
-    return alpha
+    return alpha, forward
+
+
+def pair_counts(p: np.ndarray, forward: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Expected number of each pair of neighbouring labels, where word ``t`` has the label
+    probabilities ``p[t]``: a predecessor's share is what it gives to the forward sum."""
+    if not len(p):
+        return np.zeros_like(trans)
+    before = np.concatenate((np.zeros((1, p.shape[1])), forward[:-1]))
+    before[first[:-1][np.diff(first) > 0]] = 1.0 / p.shape[1]
+    step = np.exp(trans - trans.max())
+    return step * (before.T @ (p / (before @ step)))
 
 
 @dataclass
@@ -171,7 +189,7 @@ def fit(texts: list[str], langs: list[str], *, epochs: int = 4, rate: float = 0.
             gold = np.array([y for s in seqs for p, y in s for _ in p])
             if len(gold) != len(w.start):
                 raise ValueError("words differ")
-            p = posteriors(emissions(w, f.weights), f.trans, w.first)
+            p, forward = forward_backward(emissions(w, f.weights), f.trans, w.first)
             err = p.copy()
             err[np.arange(len(gold)), gold] -= 1
             rows, grads = [], []
@@ -190,10 +208,9 @@ def fit(texts: list[str], langs: list[str], *, epochs: int = 4, rate: float = 0.
             d = np.stack([np.bincount(inverse, grad[:, c], len(uniq)) for c in range(k)], 1) / np.sqrt(len(gold)) + 1e-4 * f.weights[uniq]
             gw[uniq] += d * d
             f.weights[uniq] -= rate * d / np.sqrt(gw[uniq])
-            # transitions: expected counts (neighbouring posteriors) less those seen
-            inner = np.setdiff1d(np.arange(1, len(gold)), w.first)
-            dt = np.einsum("ni,nj->ij", p[inner - 1], p[inner])
-            np.add.at(dt, (gold[inner - 1], gold[inner]), -1)
+            # transitions: expected pairs less those of the labels seen
+            seen = np.eye(k)[gold]
+            dt = pair_counts(p, forward, f.trans, w.first) - pair_counts(seen, seen, f.trans, w.first)
             dt /= np.sqrt(len(gold))
             gt += dt * dt
             f.trans -= 0.3 * rate * dt / np.sqrt(gt)
@@ -203,14 +220,18 @@ def fit(texts: list[str], langs: list[str], *, epochs: int = 4, rate: float = 0.
 def train_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = 1200, max_bytes: int = 4_000_000, held_out=None) -> Field:
     """Fits on at most ``max_train`` whole documents of ``max_bytes`` in all, outside the fold.
 
-    A text longer than a hundredth of ``max_bytes`` is not learned from.
+    They are taken in the order of a hash; one that does not fit into what is left of
+    ``max_bytes`` is passed over.  Sizes are looked at before any text is fetched.
     """
     fold = held_out if held_out is not None else F.lit(False)
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= max_bytes // 100) & ~F.coalesce(fold, F.lit(False)))
-    some = rows.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("y"))
-    got = sorted((r.h, r.t, r.y) for r in least_hashes(some, "h", max_train, "t", "y").collect())
-    size = np.cumsum([len(t.encode()) for _, t, _ in got])
-    got = got[: int(np.searchsorted(size, max_bytes))]
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(fold, F.lit(False)))
+    some = rows.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("y"), F.octet_length(text_col).alias("n"))
+    left, chosen = max_bytes, set()
+    for r in least_hashes(some.select("h", "n"), "h", max_train, "n").collect():  # at most ``max_train`` pairs of numbers
+        if r.n <= left and r.h not in chosen:
+            left -= r.n
+            chosen.add(r.h)
+    got = sorted((r.h, r.t, r.y) for r in some.filter(F.col("h").isin(sorted(chosen))).dropDuplicates(["h"]).collect())
     return fit([t for _, t, _ in got], [y for _, _, y in got])
 
 

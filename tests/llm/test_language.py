@@ -34,6 +34,35 @@ def test_posteriors_against_plain_forward_backward(first):
             assert np.allclose(got[a + i], q / q.sum())
 
 
+def test_transition_gradient_against_differences():
+    rng = np.random.default_rng(4)
+    first, k = [0, 0, 5, 40, 140], 3
+    e, t, gold = rng.normal(size=(140, k)), rng.normal(size=(k, k)), rng.integers(0, k, 140)
+
+    def log_likelihood(t):
+        total = 0.0
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            if a == b:
+                continue
+            free, own = np.full(k, 1 / k), 0.0
+            for i in range(a, b):
+                free = (free @ np.exp(t)) * np.exp(e[i])
+                total -= np.log(free.sum())
+                free /= free.sum()
+                own += e[i, gold[i]] + (t[gold[i - 1], gold[i]] if i > a else np.log(np.exp(t[:, gold[i]]).mean()))
+            total += own
+        return total
+
+    p, forward = L.forward_backward(e, t, np.array(first))
+    seen = np.eye(k)[gold]
+    got = L.pair_counts(seen, seen, t, np.array(first)) - L.pair_counts(p, forward, t, np.array(first))
+    for i in range(k):
+        for j in range(k):
+            d = np.zeros((k, k))
+            d[i, j] = 1e-5
+            assert np.isclose(got[i, j], (log_likelihood(t + d) - log_likelihood(t - d)) / 2e-5, atol=1e-5)
+
+
 def test_words_of_switched_text():
     rng = random.Random(1)
     langs = [rng.choice(sorted(SOUNDS)) for _ in range(200)]
