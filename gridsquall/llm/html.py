@@ -40,8 +40,8 @@ HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|visibility\s*:\s*hidden|aria
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select head".split())
-#: Those whose content is text by the HTML rules, so that without an end tag the rest of the page is theirs.
-TEXT_ONLY = frozenset("script style textarea title iframe".split())
+#: Those that are code, so that without an end tag the rest of the page is theirs; of others only the tag is skipped then.
+CODE = frozenset("script style".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
@@ -60,6 +60,7 @@ class Page:
         self.implied = -1  # a body element without a tag
         stack: list[tuple[str, int]] = [("#", 0)]  # open tags with the block element they are in
         links, at, n = 0, 0, len(source)
+        unclosed: set[str] = set()
 
         def close(k: int) -> None:
             nonlocal links
@@ -105,8 +106,11 @@ class Page:
                         break
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at) if not m[3].endswith("/") else None
-                at = end.end() if end else (n if tag in TEXT_ONLY and not m[3].endswith("/") else at)
+                alone = m[3].endswith("/") or tag in unclosed
+                end = None if alone else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+                if not alone and not end:
+                    unclosed.add(tag)  # not searched again, so that many of them stay linear
+                at = end.end() if end else (n if tag in CODE and not alone else at)
                 self.controls[block] += tag in CONTROLS
                 continue
             if tag in CLOSES_P:

@@ -19,7 +19,7 @@ def test_reading_of_loose_markup():
     assert H.Page("").blocks() == [] and H.Page("<div>" * 5000 + "deep").blocks()[0][1] == "deep"
 
 
-@pytest.mark.parametrize("tag", ["noscript", "select", "template", "canvas"])
+@pytest.mark.parametrize("tag", ["noscript", "select", "template", "canvas", "textarea", "iframe", "title", "svg"])
 def test_an_unclosed_tag_leaves_the_rest(tag):
     assert [t for _, t in H.Page(f"<body><p>one<{tag}><p>two</body>").blocks()] == ["one", "two"]
     assert [t for _, t in H.Page("<body><p>one<script><p>two</body>").blocks()] == ["one"]
