@@ -3,8 +3,10 @@
 Everything is decided on the histogram of lengths, which has at most ``capacity``
 rows whatever the number of documents:
 
-1. Large lengths (over ``capacity / 8``), longest first, are cut into groups of equal
-   cardinality; each group counts as long as its longest member.
+1. Large lengths, longest first, are cut into groups of equal cardinality; each group
+   counts as long as its longest member.  Large is what is over a half, a third or a
+   quarter of the capacity, whichever gives the fewest sequences; over a half, a sequence
+   has one large piece and there is only one kind of configuration.
 2. The few-size problem is solved by column generation: a linear program over
    configurations (how many of each group share a sequence), new ones from a knapsack.
    Whole parts of the solution are kept.
@@ -35,6 +37,9 @@ from pyspark.sql import functions as F
 from gridsquall.llm.common import kept, runs
 from gridsquall.llm.tokens import ChunkEncoder
 
+#: Lengths over such a part of the capacity count as large.
+PARTS = (2, 3, 4)
+
 
 def best_configuration(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The counts of each size that fit into ``capacity`` with the largest total value."""
@@ -82,24 +87,25 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     return out
 
 
-def plan_packing(histogram: dict[int, int], capacity: int, groups: int = 40) -> tuple[np.ndarray, int]:
+def plan_packing(histogram: dict[int, int], capacity: int, groups: int = 40, parts: tuple[int, ...] = PARTS) -> tuple[np.ndarray, int]:
     """Rows (length, first number, pieces, first sequence, offset) and the number of sequences.
 
-    Where there are few small pieces to fill up with, rounding can cost more than it
-    gains, so the plan of best fit alone is made too; the one with fewer sequences counts.
+    Rounding up costs each sequence a little room, which only short enough pieces can use;
+    so the fewer lengths count as large, the more is left to fill up with, and the less
+    there is to optimise.  Plans for lengths over each part of the capacity are compared.
     """
-    return min((grouped_plan(histogram, capacity, g) for g in (groups, 0)), key=lambda p: p[1])
+    return min((grouped_plan(histogram, capacity, groups, capacity // p + 1) for p in parts), key=lambda p: p[1])
 
 
-def grouped_plan(histogram: dict[int, int], capacity: int, groups: int) -> tuple[np.ndarray, int]:
-    """The plan with so many groups of large lengths; with none, all are packed by best fit."""
+def grouped_plan(histogram: dict[int, int], capacity: int, groups: int, large_from: int) -> tuple[np.ndarray, int]:
+    """The plan with so many groups of the lengths from ``large_from`` on."""
     rows: list[tuple[int, int, int, int, int]] = []
     bins = 0
     room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by room left: (first sequence, sequences)
     if n := histogram.get(capacity):
         rows.append((capacity, 0, n, 0, 0))
         bins = n
-    large = [n for n in sorted(histogram, reverse=True) if capacity > n > capacity // 8 and groups]
+    large = [n for n in sorted(histogram, reverse=True) if capacity > n >= large_from]
     total = sum(histogram[n] for n in large)
     if total:
         edge = np.unique(np.linspace(0, total, min(groups, total) + 1).astype(np.int64))
