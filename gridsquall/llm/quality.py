@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsquall.llm import textnum
-from gridsquall.llm.common import least_hashes, runs
+from gridsquall.llm.common import kept, least_hashes, runs
 
 WORD_BITS = 15
 BINS = 24
@@ -167,22 +167,33 @@ def self_part(v: np.ndarray, value: np.ndarray) -> np.ndarray:
     return v * value[:, None]
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = 6000, held_out=None) -> Machine:
-    """Fits on the labelled rows outside the fold: at most ``max_train`` of them, by the hash of their id."""
+def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = 6000, max_features: int = 8_000_000, held_out=None) -> Machine:
+    """Fits on the labelled rows outside the fold: at most ``max_train`` ids, in the order of a hash.
+
+    Of rows with one id, that with the least text hash is taken.  A row whose features do
+    not fit into what is left of ``max_features`` numbers is passed over.
+    """
     fold = held_out if held_out is not None else F.lit(False)
     lab = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("double").alias("y")).filter(F.col("y").isNotNull() & F.col("i").isNotNull())
     lab = lab.withColumn(id_col, F.col("i")).filter(~fold).groupBy("i").agg(F.max("y").alias("y"))
-    few = least_hashes(lab.withColumn("h", F.xxhash64("i")), "h", max_train, "i").drop("h")
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(few), "i").select("t", "y")
+    few = least_hashes(lab.withColumn("h", F.xxhash64("i")), "h", max_train, "i")
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(few), "i").select("h", "t", "y")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches, 0):
-            s, index, value = features(batch.column(0))
+        for batch in runs(batches, 1):
+            s, index, value = features(batch.column(1))
             cut = [(index[a:z].astype(np.int32), value[a:z].astype(np.float32)) for a, z in zip(s[:-1], s[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes() for a, _ in cut], pa.binary()), pa.array([v.tobytes() for _, v in cut], pa.binary()), batch.column(1)], names=["a", "v", "y"])
-
-    got = rows.mapInArrow(work, "a binary, v binary, y double").collect()  # max_train rows, each within FEATURES numbers
-    sample = sorted((r.a, r.v, r.y) for r in got)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(a) for a, _ in cut], pa.int64()), pa.array([a.tobytes() for a, _ in cut], pa.binary()), pa.array([v.tobytes() for _, v in cut], pa.binary()), batch.column(2)], names=["h", "n", "a", "v", "y"])
+
+    text = F.xxhash64("t")
+    once = rows.groupBy("h", "y").agg(F.min(text).alias("th")).join(rows, ["h", "y"]).filter(text.eqNullSafe(F.col("th"))).dropDuplicates(["h"])
+    made = kept(once.select("h", "t", "y").mapInArrow(work, "h long, n long, a binary, v binary, y double"), "features")
+    left, chosen = max_features, []
+    for r in made.select("h", "n").orderBy("h").collect():  # ``max_train`` pairs of numbers
+        if r.n <= left:
+            left -= r.n
+            chosen.append(r.h)
+    sample = sorted((r.a, r.v, r.y) for r in made.filter(F.col("h").isin(chosen)).select("a", "v", "y").collect())
     return fit([(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32), y) for a, v, y in sample])
 
 
