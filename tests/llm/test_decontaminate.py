@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from gridsquall.llm.decontaminate import find_contamination
+from gridsquall.llm.decontaminate import Windows, find_contamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -45,3 +45,17 @@ def test_spans_are_in_the_original(spark):
     r = find_contamination(d, b, width=3).first()
     assert [text[s.start : s.end] for s in r.spans] == ["QUICK\tbrown,fox"]
     assert r.n_hit == 3 and hashlib.sha256(b"5").hexdigest()
+
+
+def test_words_of_several_digits():
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(20_000)]
+    items = [(str(i), " ".join(rng.choice(vocabulary) for _ in range(120))) for i in range(100)]
+    windows = Windows(items, 10)
+    assert windows.digits.shape[1] == 2 and len(windows.sizes) == 100 * 111
+    part = items[7][1].split()[30:50]
+    words = [w.encode() for w in ["x", *vocabulary[:5], *part, vocabulary[3], "y", *part[:9]]]
+    found: set[str] = set()
+    hit = windows.scan(words, None, found)
+    assert found == {"7"} and hit.tolist() == [False] * 6 + [True] * 20 + [False] * 11
+    assert windows.scan([b"x"] * 50, None, set()) is None

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from gridsquall.llm.packing import best_configuration, pack_documents, plan_packing
+from gridsquall.llm.packing import PARTS, best_configuration, grouped_plan, pack_documents, plan_packing
 from gridsquall.llm.queries import vocabulary
 
 
@@ -47,6 +47,17 @@ def test_plans_are_complete_and_tight(seed):
     assert bins <= best_fit_decreasing(n.tolist(), 512) * 1.005 + 1
 
 
+@pytest.mark.parametrize("part", PARTS)
+def test_each_bound_of_large_lengths_is_near_the_total(part):
+    rng = np.random.default_rng(part)
+    n = np.clip(rng.lognormal(5.5, 1.2, 20_000).astype(int), 1, 2048)
+    hist = {int(k): int(c) for k, c in zip(*np.unique(n, return_counts=True), strict=True)}
+    _, bins = grouped_plan(hist, 2048, 40, 2048 // part + 1)
+    least = max(-(-int(n.sum()) // 2048), int((n > 1024).sum()))
+    assert least <= bins <= 1.04 * least + 2
+    assert plan_packing(hist, 2048)[1] <= bins
+
+
 def test_small_plans():
     assert check_plan({}, 10) == 0
     assert check_plan({10: 3}, 10) == 3

@@ -67,3 +67,12 @@ def test_edge_rows(spark):
     assert Q.score_quality(docs.limit(0), m).count() == 0
     none = Q.train_quality(docs, labels.limit(0))
     assert {r.score for r in Q.score_quality(docs, none).collect()} == {0.5}
+
+
+def test_repeated_ids_and_the_bound_of_features(spark):
+    docs, labels = corpus(spark, 200)
+    m = Q.train_quality(docs, labels)
+    again = Q.train_quality(docs.unionByName(docs).unionByName(docs.filter("doc_id < 50")), labels)
+    assert np.array_equal(m.v, again.v) and np.array_equal(m.w, again.w)
+    assert not Q.train_quality(docs, labels, max_features=0).v.any()
+    assert Q.train_quality(docs, labels, max_features=2000).v.any()
