@@ -26,9 +26,14 @@ def shared_path(spark: SparkSession, kind: str) -> str:
 
 
 def kept(df: DataFrame, kind: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lineage ends there."""
+    """``df`` written as Parquet to the shared folder and read again: lineage ends there.
+
+    Spark deletes the shuffle files of what has been written once the driver has collected
+    its garbage, which by itself may be long after; so it is asked to.
+    """
     path = shared_path(df.sparkSession, kind)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
