@@ -29,3 +29,25 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+SQL["op1_ngram_jaccard"] = r"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents
+), shingle AS (
+  SELECT DISTINCT r, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 3], ' ') END AS s
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM doc WHERE len(w) > 0)
+), size AS (
+  SELECT r, count(*) AS n FROM shingle GROUP BY r
+), alike AS (
+  SELECT a.r AS x, b.r AS y, count(*) AS o FROM shingle a JOIN shingle b ON a.s = b.s AND a.r < b.r GROUP BY 1, 2
+), link AS (
+  SELECT x, y FROM alike JOIN size m ON m.r = x JOIN size n ON n.r = y WHERE 100 * o >= 85 * (m.n + n.n - o)
+), edge AS (
+  SELECT x, y FROM link UNION ALL SELECT y, x FROM link
+), reach(r, y) AS (
+  SELECT DISTINCT x, x FROM edge UNION SELECT reach.r, edge.y FROM reach JOIN edge ON edge.x = reach.y
+)
+SELECT d.doc_id, coalesce(any_value(size.n), 0)::BIGINT AS n_shingles, coalesce(min(t.doc_id), d.doc_id) AS component_id
+FROM doc d LEFT JOIN size USING (r) LEFT JOIN reach ON reach.r = d.r LEFT JOIN doc t ON t.r = reach.y GROUP BY d.r, d.doc_id
+"""
