@@ -66,11 +66,11 @@ def _(spark, d):
     return x.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.round(r, 5).alias("r"), F.round(F.avg(F.cos(F.col("a") - F.col("b"))), 5).alias("alignment"))
 
 
-@query("D22_fixed_bins", sql("SELECT bin, count(*) AS n, round(avg(mag), 5) AS mean_mag, round(regr_sxy(mag, duration_min) / nullif(sqrt(regr_sxx(mag, duration_min)*regr_syy(mag, duration_min)), 0), 4) AS r FROM (SELECT mag, duration_min, floor(mag / 0.1::DOUBLE)::BIGINT AS bin FROM ramps) GROUP BY bin"))
+@query("D22_fixed_bins", sql("SELECT bin, count(*) AS n, round(avg(mag) + 1e-9::DOUBLE, 5) AS mean_mag, round(regr_sxy(mag, duration_min) / nullif(sqrt(regr_sxx(mag, duration_min)*regr_syy(mag, duration_min)), 0), 4) AS r FROM (SELECT mag, duration_min, floor(mag / 0.1::DOUBLE)::BIGINT AS bin FROM ramps) GROUP BY bin"))
 def _(spark, d):
     """Bins of fixed width, with Pearson's r in each."""
     b = A.ramps(A.events(spark, d)).withColumn("bin", F.floor(F.col("mag") / 0.1))
-    return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("mag"), 5).alias("mean_mag"), F.round(stats.correlation("duration_min", "mag"), 4).alias("r"))
+    return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("mag") + 1e-9, 5).alias("mean_mag"), F.round(stats.correlation("duration_min", "mag"), 4).alias("r"))
 
 
 @query("D26_epsilon_delta_grid")
@@ -101,10 +101,10 @@ def _(spark, d):
     return day.agg(F.stddev_samp("x").alias("s")).crossJoin(F.broadcast(total)).select(r6(F.try_divide("s", "total")).alias("sigma"))
 
 
-@query("E12_rolling_crossing_30", sql("SELECT sid, day, min(us) AS t_us FROM (SELECT sid, us, us // 86400000000 AS day, CASE WHEN count(k) OVER w >= 21 THEN avg(k) OVER w END AS mean FROM (SELECT sid % 5 AS sid, event_id, us, k FROM series) WINDOW w AS (PARTITION BY sid, us // 86400000000 ORDER BY us, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) WHERE mean > 0.5 GROUP BY 1, 2"))
+@query("E12_rolling_crossing_30", sql("SELECT sid, day, min(us) AS t_us FROM (SELECT sid, us, us // 86400000000 AS day, CASE WHEN count(k) OVER w >= 21 THEN avg(k) OVER w END AS mean FROM (SELECT 0::BIGINT AS sid, event_id, us, k FROM series) WINDOW w AS (PARTITION BY sid, us // 86400000000 ORDER BY us, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) WHERE mean > 0.5 GROUP BY 1, 2"))
 def _(spark, d):
-    """The operator's own window, 30 samples and 21 at least, over five groups of stations taken as one series each."""
-    return E.rolling_crossing(A.series(A.events(spark, d)).withColumn("sid", F.col("sid") % 5), 30, 21, 0.5)
+    """The operator's own window, 30 samples and 21 at least, over the network taken as one series, day by day."""
+    return E.rolling_crossing(A.series(A.events(spark, d)).withColumn("sid", F.lit(0).cast("long")), 30, 21, 0.5)
 
 
 @query("G17_ramp_shape", sql("SELECT event_id, t AS minute, round(delta_k * t / 10.0::DOUBLE, 6) + 0.0::DOUBLE AS dk FROM ramps, range(11) s(t)"))
