@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gridsquall.session import ensure_checkpoint_dir
 
 #: Texts are worked on in runs of about so many characters, to bound memory.
-RUN_CHARS = 4_000_000
+RUN_CHARS = 1_500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

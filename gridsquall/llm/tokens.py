@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from gridsquall.llm import textnum
 
 #: Chunks put together for one call, and bytes of text that are looked up at once.
-JOINED, WINDOW = 2048, 2_000_000
+JOINED, WINDOW = 2048, 1_000_000
 SPACE, LINE = 32, 10
 BLANK = np.array([c in (*range(9, 14), *range(28, 33)) for c in range(256)])
 VISIBLE = np.array([33 <= c <= 126 for c in range(256)])
