@@ -115,3 +115,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its near words, form and root."""
+    from gridsquall.llm.spelling import spelling_variants, thinned_words
+
+    return spelling_variants(thinned_words(table(spark, sf_dir, "documents")))
