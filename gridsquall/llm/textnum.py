@@ -1,21 +1,24 @@
 """Words of many texts as NumPy arrays, without a Python object for each word.
 
 A batch's UTF-8 bytes are one array.  A byte maps to itself, to another byte (lower
-case) or to 0, which parts words.  The sum of ``T[byte] * B**position`` over a
-stretch, divided by ``B**start``, is a 64-bit hash of that stretch, so running sums
-give the hash of every word and of every part of a word.
+case) or to 0, which parts words.  The hash of a stretch of bytes takes eight of them at a
+time into a bijective mix, in turn, for all stretches of a batch at once; so stretches of
+one length up to eight bytes never collide, and longer ones do not by any pattern in them.
+Stretches over ``LONG`` bytes, few in any text, are digested one by one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-#: An odd multiplier has an inverse modulo 2**64.
+#: An odd number without a pattern in its bits.
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes from which on a stretch is digested by itself.
+LONG = 192
 SPACES = (9, 10, 11, 12, 13, 32)
 
 #: A-Z to lower case; ASCII white space parts words.  A zero byte takes a value that UTF-8 never has.
@@ -34,19 +37,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``B**i`` and ``B**-i`` for i below at least ``n``."""
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for name, b in (("up", BASE), ("down", INVERSE)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"], _POWERS["down"]
+#: The bytes that a last block of 1 to 8 bytes keeps.
+TAIL = np.array([(1 << 8 * k) - 1 for k in range(1, 9)], np.uint64)
+
+
+def stretch_hashes(data: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches of ``data`` (bytes) from ``a`` to before ``z``; equal bytes have equal hashes."""
+    n = np.maximum(z - a, 0)
+    h = mix(n.astype(np.uint64) * np.uint64(BASE) + np.uint64(BASE))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    live = np.flatnonzero((n > 0) & (n <= LONG))
+    k = 0
+    while len(live):
+        left = n[live] - k
+        block = eight[a[live] + k] & TAIL[np.minimum(left, 8) - 1]
+        h[live] = mix(h[live] ^ block)
+        live = live[left > 8]
+        k += 8
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[a[i] : z[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 @dataclass
@@ -59,11 +70,10 @@ class Words:
     start: np.ndarray  # first byte of each word
     end: np.ndarray  # one past its last
     first: np.ndarray  # number of the first word of each text, and the number of words
-    sums: np.ndarray  # running sums for hashes, with a leading 0
 
     def hashes(self, a: np.ndarray, z: np.ndarray) -> np.ndarray:
         """The hash of each stretch of bytes from ``a`` to before ``z``."""
-        return mix((self.sums[z] - self.sums[a]) * powers(len(self.raw) + 1)[1][a])
+        return stretch_hashes(self.codes, a, z)
 
     def of_words(self) -> np.ndarray:
         return self.hashes(self.start, self.end)
@@ -96,6 +106,4 @@ def read(col: pa.Array, table: np.ndarray) -> Words:
     after = np.concatenate((inside[1:], [False]))
     after[starts[starts > 0] - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[codes] * powers(len(raw) + 1)[0][: len(raw)], out=sums[1:])
-    return Words(raw, codes, offsets, start, end, np.searchsorted(start, offsets), sums)
+    return Words(raw, codes, offsets, start, end, np.searchsorted(start, offsets))

@@ -112,10 +112,7 @@ class ChunkEncoder:
     def _window(self, raw: np.ndarray, starts: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the chunks that begin at ``starts``, and how many each has."""
         ends = np.append(starts[1:], len(raw))
-        up, down = textnum.powers(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(textnum.BYTE_CODES[self.codes[raw]] * up[: len(raw)], out=sums[1:])
-        key = textnum.mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        key = textnum.stretch_hashes(self.codes[raw], starts, ends)
         distinct, first, place = np.unique(key, return_index=True, return_inverse=True)
         if len(self.keys) + len(distinct) > self.remember:
             self._forget()

@@ -2,9 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from gridsquall.llm import textnum
 from gridsquall.llm.queries import vocabulary
 from gridsquall.llm.tokens import ChunkEncoder
 from gridsquall.llm.wavelet import Shard, pack_shard, read_token_shards, token_shards
@@ -57,3 +59,30 @@ def test_query_form(spark):
     want = sorted([*t.encode(x or "", add_special_tokens=False).ids, 1] for _, x, _ in rows)
     assert sorted(np.frombuffer(r.ids, "<u4").tolist() for r in got) == want
     assert read_token_shards(token_shards(docs.limit(0), vocabulary("word_bpe_49k.json"))).count() == 0
+
+
+def overlap_free(n):
+    """The Thue-Morse string and its complement: polynomial hashes modulo 2**64 cannot tell them apart from 1,024 letters on."""
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s[:n], s[:n].translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_self_similar_words_have_the_ids_of_the_library(name):
+    path = vocabulary(name)
+    library = Tokenizer.from_file(path)
+    encoder = ChunkEncoder(path)
+    texts = [t for n in (64, 512, 1024, 2048) for t in overlap_free(n)] + ["ab" * 700, "ba" * 700, "a" * 300, "a" * 301]
+    for text, ids in zip(texts, encoder.encode_texts(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_hashes_of_structured_stretches_are_distinct():
+    texts = {t for n in (8, 9, 64, 191, 192, 193, 1024, 4096) for t in overlap_free(n)}
+    texts |= {"a" * n for n in range(1, 600)} | {"ab" * n for n in range(1, 300)} | {"a" * k + "b" + "a" * (40 - k) for k in range(40)} | {"\x00" * n for n in range(1, 40)}
+    w = textnum.read(pa.array(sorted(texts)), textnum.BLANK_PARTED)
+    assert len(set(w.of_words().tolist())) == len(texts)
+    a, z = np.array([0, 3, 5, 5]), np.array([0, 3, 4, 6])
+    assert len(set(textnum.stretch_hashes(w.raw, a, z).tolist())) == 2
