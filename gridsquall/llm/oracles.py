@@ -51,3 +51,33 @@ WITH RECURSIVE doc AS (
 SELECT d.doc_id, coalesce(any_value(size.n), 0)::BIGINT AS n_shingles, coalesce(min(t.doc_id), d.doc_id) AS component_id
 FROM doc d LEFT JOIN size USING (r) LEFT JOIN reach ON reach.r = d.r LEFT JOIN doc t ON t.r = reach.y GROUP BY d.r, d.doc_id
 """
+
+SQL["op12_quality_rules"] = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), word AS (
+  SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM doc
+), place AS (
+  SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM word WHERE len(w) > 2)
+), again AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c FROM place) WHERE c > 1
+), covered AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY r
+), counted AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines)::BIGINT AS n_lines,
+         coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+         len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]')) AS n_letters, len(regexp_extract_all(t, '!')) AS n_bangs
+  FROM word LEFT JOIN covered USING (r)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 5 * n_symbols > n_words OR 2 * n_upper > n_letters OR 10 * n_bangs > 3 * n_words OR 2 * n_dup_lines > n_lines
+            OR word_chars > 12 * n_words OR 2 * word_chars < 5 * n_words) AS kept
+FROM judged
+"""
