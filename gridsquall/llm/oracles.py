@@ -81,3 +81,100 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR word_chars > 12 * n_words OR 2 * word_chars < 5 * n_words) AS kept
 FROM judged
 """
+
+#: The table of the crc32, and the crc32 of a text of code points below 0x800, as DuckDB expressions.
+CRC_TABLE = """
+crc AS (
+  SELECT list(list_reduce([b::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t
+  FROM range(256) r(b)
+)"""
+
+
+def crc32(text: str) -> str:
+    """The expression for a text column, where ``t`` of the table ``crc`` is in scope."""
+    points = f"list_transform(string_split({text}, ''), lambda z: unicode(z)::BIGINT)"
+    octets = f"flatten(list_transform({points}, lambda p: CASE WHEN p < 128 THEN [p] ELSE [192 | (p >> 6), 128 | (p & 63)] END))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+SQL["op13_spelling_variants"] = f"""
+WITH RECURSIVE {CRC_TABLE}, run AS (
+  SELECT doc_id, run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY ALL
+), hashed AS (
+  SELECT run, c, {crc32("doc_id::VARCHAR || ':' || run")} AS h FROM run, crc
+), word AS (
+  SELECT word, sum(c)::BIGINT AS n
+  FROM (SELECT c, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY 1 HAVING sum(c) >= 3
+), less AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS k FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM word)
+), near AS (
+  SELECT a.word, b.word AS o FROM less a JOIN less b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+  UNION SELECT k, word FROM less WHERE k IN (SELECT word FROM word)
+  UNION SELECT word, k FROM less WHERE k IN (SELECT word FROM word)
+), best AS (
+  SELECT near.word, count(*) AS n_near, arg_min({{'w': o, 'n': m.n}}, (-m.n, o)) AS top FROM near JOIN word m ON m.word = o GROUP BY 1
+), rated AS (
+  SELECT word.word, word.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top.n >= 2 * word.n THEN top.w END AS form, CASE WHEN top.n >= 2 * word.n THEN top.n END AS form_n
+  FROM word LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS root, form AS next FROM rated
+  UNION ALL SELECT walk.word, walk.next, rated.form FROM walk JOIN rated ON rated.word = walk.next
+)
+SELECT rated.word, form, root, n, n_near, form_n FROM rated JOIN walk ON walk.word = rated.word AND walk.next IS NULL
+"""
+
+#: Ways to each state (0 none, 1 s, 2 u, 3 a): s, cost g, audit a, repaired turns r.  Inserts a turn behind each, and keeps the best way to each state.
+_INSERTED = "list_transform(ways, lambda w: {'s': CASE WHEN w.s = 2 THEN 3 ELSE 2 END, 'g': w.g + 5, 'a': w.a || 'I', 'r': list_append(w.r, CASE WHEN w.s = 2 THEN 'assistant:' ELSE 'user:' END)})"
+_BEST = "list_filter(list_transform([0, 1, 2, 3], lambda s: list_min(list_filter({}, lambda w: w.s = s))), lambda w: w IS NOT NULL)"
+_WIDER = _BEST.format(f"list_concat(ways, {_INSERTED})")
+_TAKEN = """list_concat(
+  list_transform(ways, lambda w: {'s': w.s, 'g': w.g + 2, 'a': w.a || 'D', 'r': w.r}),
+  list_transform(list_filter(ways, lambda w: fault NOT IN ('blank', 'duplicate') AND (initial = 's' AND w.s = 0 OR initial = 'u' AND w.s <> 2 OR initial = 'a' AND w.s = 2)),
+    lambda w: {'s': CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, 'g': w.g + charge, 'a': w.a || 'K', 'r': list_append(w.r, role || ':' || text)}),
+  list_transform(list_filter(ways, lambda w: fault NOT IN ('blank', 'duplicate')),
+    lambda w: {'s': CASE WHEN w.s = 2 THEN 3 ELSE 2 END, 'g': w.g + 1 + charge, 'a': w.a || 'R', 'r': list_append(w.r, CASE WHEN w.s = 2 THEN 'assistant:' ELSE 'user:' END || text)}))"""
+
+SQL["op11_conversation_repair"] = rf"""
+WITH RECURSIVE {CRC_TABLE}, conv AS (
+  SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)
+), broken AS (
+  SELECT c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k
+  FROM conversations JOIN conv USING (conv_id), crc
+), kept AS (
+  SELECT c, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM broken WHERE k <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i, substr(role, 1, 1) AS initial,
+         regexp_extract(text, '[^\x20\x09-\x0D]([\x20\x09-\x0D]*)$', 0)[1] AS last
+  FROM kept
+), faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY c ORDER BY i) || initial AS pair
+  FROM placed
+), charged AS (
+  SELECT *, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS charge FROM faulty
+), counted AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM charged GROUP BY c
+), walk AS (
+  SELECT c, 0::BIGINT AS i, [{{'s': 0, 'g': 0, 'a': '', 'r': []::VARCHAR[]}}] AS ways FROM conv
+  UNION ALL
+  SELECT c, i, {_BEST.format(_TAKEN)} AS ways
+  FROM (SELECT * REPLACE ({_WIDER} AS ways) FROM (SELECT walk.c, r.i, r.role, r.text, r.initial, r.fault, r.charge, {_WIDER} AS ways FROM walk JOIN charged r ON r.c = walk.c AND r.i = walk.i + 1))
+), ended AS (
+  SELECT walk.c, ways FROM walk LEFT JOIN counted USING (c) WHERE walk.i = coalesce(n, 0)
+), wider AS (
+  SELECT c, {_WIDER} AS ways FROM (SELECT c, {_WIDER} AS ways FROM ended)
+), best AS (
+  SELECT c, list_min(list_transform(list_filter(ways, lambda w: w.s IN (0, 3)), lambda w: {{'g': w.g, 'a': w.a, 'r': w.r}})) AS b FROM wider
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, b.g::BIGINT AS cost, b.a AS audit, sha256(array_to_string(b.r, chr(10))) AS repaired_sha256
+FROM conv JOIN best USING (c) LEFT JOIN counted USING (c)
+"""
