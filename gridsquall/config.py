@@ -30,6 +30,13 @@ class Extremes:
     min_declustered: int = 30
     max_shape: float = 0.5
     run_lengths: int = 19
+    #: Candidate run lengths in minutes; fixed values.
+    run_lengths_min: tuple[float, ...] = (1, 2, 3, 5, 7, 10, 15, 20, 30, 45, 60, 90, 120, 180, 240, 360, 480, 720, 1440)
+    quantile_low: float = 0.70
+    quantile_high: float = 0.98
+    min_candidate: int = 30
+    min_series: int = 20
+    min_clusters: int = 50
     horizons_years: tuple[float, ...] = (0.25, 0.5, 1.0, 2.0)
 
 

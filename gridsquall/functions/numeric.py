@@ -39,6 +39,28 @@ def poisson_ppf(q: float, mean: float) -> int:
     return k
 
 
+def bivariate_norm_cdf_many(a: float, b: float, rho: np.ndarray, points: int = 64) -> np.ndarray:
+    """``bivariate_norm_cdf`` for many correlations, with the nodes as a second axis."""
+    t, w = np.polynomial.legendre.leggauss(points)
+    s = np.sin((t + 1) / 2 * np.arcsin(rho)[:, None])
+    f = np.exp(-(a * a - 2 * s * a * b + b * b) / (2 * (1 - s * s)))
+    return norm_cdf(a) * norm_cdf(b) + np.arcsin(rho) / (4 * math.pi) * (f @ w)
+
+
+def poisson_ppf_many(q: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """The least number whose distribution function reaches ``q``, for every mean."""
+    k, term = np.zeros(len(q), np.int64), np.exp(-mean)
+    total = term.copy()
+    for _ in range(100_000):
+        low = total < q
+        if not low.any():
+            break
+        k[low] += 1
+        term[low] *= mean[low] / k[low]
+        total[low] += term[low]
+    return k
+
+
 def betainc(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function, by its continued fraction."""
     if x <= 0 or x >= 1:

@@ -1,14 +1,11 @@
-"""Extreme-value operators: extremal index, run length, peaks over threshold."""
+"""Extreme-value operators: gaps, extremal index, run length."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsquall.config import CONFIG
-from gridsquall.functions import numeric as N
 
 
 def gaps(events: DataFrame, key: str = "sid", us: str = "start_us") -> DataFrame:
@@ -32,88 +29,3 @@ def choose_run_length(events: DataFrame, step_min: int = 60, candidates: int = C
     clusters = gaps(events).select("sid", "t", r).groupBy("sid", "r").agg((1 + F.count_if(F.col("t") > F.col("r"))).alias("clusters"))
     x = clusters.join(extremal_index(events), "sid")
     return x.groupBy("sid").agg(F.min_by(F.col("r").cast("long"), F.struct(F.abs(F.col("clusters") - F.greatest(F.lit(1.0), F.round(F.col("n") * F.col("theta")))), F.col("r"))).alias("run_min"))
-
-
-def select_threshold(x: np.ndarray) -> tuple[float, float]:
-    """The least threshold (and its quantile) whose later shapes stay within its 95 % interval."""
-    qs = np.arange(0.70, 0.981, 0.02)
-    fits = []
-    for q in qs:
-        u = float(np.quantile(x, q))
-        f = N.fit_gpd(x[x > u] - u)
-        if f["converged"]:
-            fits.append((float(q), u, f["xi"], 1.96 * f["se_xi"]))
-    for k, (q, u, xi, half) in enumerate(fits[: max(0, len(fits) - 2)]):
-        if all(abs(later[2] - xi) <= half for later in fits[k + 1 :]):
-            return u, q
-    return float(np.quantile(x, 0.90)), 0.90
-
-
-FIT = "n_total long, threshold_u double, threshold_quantile double, n_exceed long, theta double, run_min long, n_declustered long, xi double, sigma double, se_xi double, nll double, converged boolean, passed boolean, reason string"
-
-
-def fit_peaks(minutes: np.ndarray, x: np.ndarray, adaptive: bool = True) -> dict:
-    """Threshold, declustering and fit of one series, with the reason where it fails."""
-    c = CONFIG.extremes
-    out = dict.fromkeys([f.split()[0] for f in FIT.split(", ")])
-    out |= {"n_total": len(x), "converged": False, "passed": False}
-    if len(x) < c.min_ramps:
-        return out | {"reason": "few ramps"}
-    u, q = select_threshold(x) if adaptive else (float(np.quantile(x, 0.9)), 0.9)
-    hot = x > u
-    out |= {"threshold_u": u, "threshold_quantile": q, "n_exceed": int(hot.sum())}
-    if hot.sum() < c.min_exceed:
-        return out | {"reason": "few exceedances"}
-    t, y = minutes[hot], x[hot]
-    gap = np.floor(np.diff(t))
-    theta = N.ferro_segers(gap)
-    runs = 60 * np.arange(1, c.run_lengths + 1)
-    run = int(runs[np.argmin([abs(1 + (gap > r).sum() - max(1, round(len(y) * theta))) for r in runs])])
-    top = N.decluster(t, y, run)
-    f = N.fit_gpd(y[top] - u)
-    out |= {"theta": theta, "run_min": run, "n_declustered": len(top), "xi": f["xi"], "sigma": f["sigma"], "se_xi": f["se_xi"], "nll": f["nll"], "converged": f["converged"]}
-    ok = f["converged"] and len(top) >= c.min_declustered and abs(f["xi"]) < c.max_shape
-    return out | {"passed": bool(ok), "reason": "ok" if ok else "no convergence" if not f["converged"] else "few clusters" if len(top) < c.min_declustered else "shape"}
-
-
-def fit_marginals(events: DataFrame, keys: list[str], adaptive: bool = True) -> DataFrame:
-    """One fit for each key; a series fits a task's memory, as it is one sensor's events."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_us", "event_id"])
-        row = fit_peaks(pdf["start_us"].to_numpy() / 6e7, pdf["mag"].to_numpy(), adaptive)
-        return pd.DataFrame([{k: pdf[k].iloc[0] for k in keys} | row])
-
-    schema = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
-    return events.select(*dict.fromkeys([*keys, "start_us", "event_id", "mag"])).groupBy(*keys).applyInPandas(one, f"{schema}, {FIT}")
-
-
-def fit_scale_covariates(events: DataFrame, keys: list[str], covariates: list[str]) -> DataFrame:
-    """Excesses over the 80 % quantile with a scale that depends on covariates."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        u = pdf["mag"].quantile(0.8)
-        hot = pdf[pdf["mag"] > u]
-        row = {k: pdf[k].iloc[0] for k in keys} | {"n": len(hot), "beta": None, "xi": None, "nll": None, "converged": False}
-        if len(hot) >= 10:
-            row |= N.fit_gpd_scale((hot["mag"] - u).to_numpy(), hot[covariates].to_numpy())
-        return pd.DataFrame([row])
-
-    schema = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
-    return events.select(*keys, "mag", *covariates).groupBy(*keys).applyInPandas(one, f"{schema}, n long, beta array<double>, xi double, nll double, converged boolean")
-
-
-def threshold_stability(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Shape and mean excess at every candidate threshold."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, rows = pdf["mag"].to_numpy(), []
-        for q in np.arange(0.70, 0.981, 0.02):
-            u = float(np.quantile(x, q))
-            y = x[x > u] - u
-            f = N.fit_gpd(y)
-            rows.append({k: pdf[k].iloc[0] for k in keys} | {"q": float(q), "u": u, "n": len(y), "mean_excess": float(y.mean()) if len(y) else None, "xi": f["xi"], "se_xi": f["se_xi"]})
-        return pd.DataFrame(rows)
-
-    schema = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
-    return events.select(*keys, "mag").groupBy(*keys).applyInPandas(one, f"{schema}, q double, u double, n long, mean_excess double, xi double, se_xi double")

@@ -65,3 +65,20 @@ def numbered_sort(df: DataFrame, *order: Column) -> DataFrame:
     bases = sizes.select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     pos = F.col("_base") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     return rows.join(F.broadcast(bases), "_r").withColumn("pos", pos).drop("_r", "_m", "_base")
+
+
+def weighted_ranks(df: DataFrame, key: str, value: str, weight: str, out: str, buckets: int = 64) -> DataFrame:
+    """Average ranks of rows that count ``weight`` times, within each key, as column ``out``.
+
+    Values are dealt into ranges (equal values share one), whose sums of weights tell where
+    ranks begin in the next, so a key's rows are ranked by many tasks.
+    """
+    edges = sorted(set(df.approxQuantile(value, [k / buckets for k in range(1, buckets)], 0.01))) if buckets > 1 else []  # a number for each range
+    bucket = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(value))) if edges else F.lit(0)
+    rows = df.withColumn("_k", bucket)
+    sums = rows.groupBy(key, "_k").agg(F.sum(weight).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = sums.select(key, "_k", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    upto = F.sum(weight).over(Window.partitionBy(key, "_k").orderBy(value))
+    tie = F.sum(weight).over(Window.partitionBy(key, "_k", value))
+    return rows.join(base, [key, "_k"]).withColumn(out, F.col("_base") + upto - (tie - 1) / 2.0).drop("_k", "_base")

@@ -1,5 +1,5 @@
 """Queries that complete operators of the other modules: sources, seasons, circular and binned
-statistics, grids of thresholds, full correlation, ramp shapes and generators."""
+statistics, grids of thresholds, full correlation and ramp shapes."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridsquall.operators import events as E
-from gridsquall.operators import resample as S
 from gridsquall.operators import stats
 from gridsquall.operators import tail as T
 from gridsquall.plans.registry import query
@@ -101,10 +100,22 @@ def _(spark, d):
     return day.agg(F.stddev_samp("x").alias("s")).crossJoin(F.broadcast(total)).select(r6(F.try_divide("s", "total")).alias("sigma"))
 
 
-@query("E12_rolling_crossing_30", sql("SELECT sid, day, min(us) AS t_us FROM (SELECT sid, us, us // 86400000000 AS day, CASE WHEN count(k) OVER w >= 21 THEN avg(k) OVER w END AS mean FROM (SELECT 0::BIGINT AS sid, event_id, us, k FROM series) WINDOW w AS (PARTITION BY sid, us // 86400000000 ORDER BY us, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) WHERE mean > 0.5 GROUP BY 1, 2"))
+#: Station values at every minute between neighbouring samples of a day, as the minute adapter has them.
+MINUTE_SQL = """
+two AS (SELECT sid, us, k, lag(us) OVER w AS us0, lag(k) OVER w AS k0 FROM series WINDOW w AS (PARTITION BY sid ORDER BY us, event_id)),
+line AS (SELECT *, us0 // 86400000000 AS day, ceil((us0 - us0 // 86400000000 * 86400000000) / 6e7::DOUBLE)::BIGINT AS a, ceil((us - us0 // 86400000000 * 86400000000) / 6e7::DOUBLE)::BIGINT AS b
+ FROM two WHERE k IS NOT NULL AND k0 IS NOT NULL AND us // 86400000000 = us0 // 86400000000),
+minutes AS (SELECT sid, day, minute, k0 + (k - k0) * (minute * 6e7::DOUBLE - (us0 - day * 86400000000)) / (us - us0) AS k FROM (SELECT *, unnest(range(a, b)) AS minute FROM line WHERE b > a))
+"""
+
+
+@query("E12_rolling_crossing_30", sql("SELECT sid, day, min(minute)::BIGINT AS minute FROM (SELECT sid, day, minute, CASE WHEN count(*) OVER w >= 21 THEN avg(k) OVER w END AS mean FROM minutes WINDOW w AS (PARTITION BY sid, day ORDER BY minute RANGE BETWEEN 29 PRECEDING AND CURRENT ROW)) WHERE round(mean, 9) > 0.5 GROUP BY 1, 2", MINUTE_SQL))
 def _(spark, d):
-    """The operator's own window, 30 samples and 21 at least, over the network taken as one series, day by day."""
-    return E.rolling_crossing(A.series(A.events(spark, d)).withColumn("sid", F.lit(0).cast("long")), 30, 21, 0.5)
+    """For each station and day the first minute at which the mean of the last 30 minutes (21 with a value at least) exceeds one half."""
+    m = A.minute_lines(A.events(spark, d)).select("sid", "day", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("minute"), "c", "s")
+    w = Window.partitionBy("sid", "day").orderBy("minute").rangeBetween(-29, 0)
+    r = m.select("sid", "day", "minute", F.when(F.count(F.lit(1)).over(w) >= 21, F.avg(F.col("c") + F.col("s") * F.col("minute")).over(w)).alias("mean"))
+    return r.filter(F.round("mean", 9) > 0.5).groupBy("sid", "day").agg(F.min("minute").cast("long").alias("minute"))
 
 
 @query("G17_ramp_shape", sql("SELECT event_id, t AS minute, round(delta_k * t / 10.0::DOUBLE, 6) + 0.0::DOUBLE AS dk FROM ramps, range(11) s(t)"))
@@ -112,39 +123,3 @@ def _(spark, d):
     """Each ramp as a linear patch of eleven points."""
     t = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(10).cast("long"))).alias("minute")
     return A.ramps(A.events(spark, d)).select("event_id", "delta_k", t).select("event_id", "minute", (r6(F.col("delta_k") * F.col("minute") / 10.0) + 0.0).alias("dk"))
-
-
-#: Samples of a generated series, its memory, and how far back innovations still count.
-SAMPLES, PHI, MEMORY = 50_000, 0.9, 120
-
-
-def ar1_pair(spark, rho: float):
-    """``t, x, y``: two AR(1) series whose innovations correlate, as moving sums of hashed normals."""
-    w = Window.partitionBy("part").orderBy("t").rowsBetween(-MEMORY, 0)
-    t = spark.range(SAMPLES).select(F.col("id").alias("t"), F.floor(F.col("id") / 1000).alias("part"))
-    # each part brings the innovations before it along, so that parts need not meet
-    lead = t.filter(F.col("t") % 1000 >= 1000 - MEMORY).select("t", (F.col("part") + 1).alias("part"))
-    a, b = S.normal("t", F.lit("ar-a")), S.normal("t", F.lit("ar-b"))
-    rows = t.unionByName(lead).select("t", "part", a.alias("a"), (rho * a + (1 - rho * rho) ** 0.5 * b).alias("b"))
-    memory = lambda c: F.aggregate(F.collect_list(c).over(w), F.lit(0.0), lambda s, e: PHI * s + e)
-    return rows.select("t", "part", memory("a").alias("x"), memory("b").alias("y")).filter(F.floor(F.col("t") / 1000) == F.col("part")).drop("part")
-
-
-def gumbel_pair(spark, theta: float):
-    """``t, u, v`` from a Gumbel copula: exponentials divided by a shared positive stable frailty."""
-    a = 1 / theta
-    u, e = F.pi() * S.uniform("id", F.lit("angle")), -F.log(S.uniform("id", F.lit("frailty")))
-    s = F.sin(a * u) / F.pow(F.sin(u), F.lit(1 / a)) * F.pow(F.sin((1 - a) * u) / e, F.lit((1 - a) / a))
-    margin = lambda k: F.exp(-F.pow(-F.log(S.uniform("id", F.lit(k))) / F.col("s"), F.lit(a)))
-    return spark.range(SAMPLES).withColumn("s", s).select(F.col("id").alias("t"), margin("u").alias("u"), margin("v").alias("v"))
-
-
-@query("H22_generated_pairs")
-def _(spark, d):
-    """Chi at 0.95 of generated pairs: AR(1) series, independent and not, and a Gumbel copula (2 - sqrt 2 in the limit)."""
-    out = None
-    for name, df, x, y in (("ar1 independent", ar1_pair(spark, 0.0), "x", "y"), ("ar1 correlated", ar1_pair(spark, 0.8), "x", "y"), ("gumbel 2", gumbel_pair(spark, 2.0), "u", "v")):
-        q = df.agg(F.percentile(x, 0.95).alias("qx"), F.percentile(y, 0.95).alias("qy"))  # one row
-        chi = df.crossJoin(F.broadcast(q)).agg((F.count_if((F.col(x) > F.col("qx")) & (F.col(y) > F.col("qy"))) / (SAMPLES * 0.05)).alias("chi")).select(F.lit(name).alias("pair"), "chi")
-        out = chi if out is None else out.unionByName(chi)
-    return out

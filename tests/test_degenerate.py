@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from generators import generated_chi
 from pyspark.sql import functions as F
 
 from gridsquall.functions import numeric as N
@@ -12,7 +13,6 @@ from gridsquall.operators import stats as S
 from gridsquall.operators import tail as T
 from gridsquall.operators.events import sdt_segments
 from gridsquall.operators.pairs import match_events
-from gridsquall.plans import further
 
 
 def test_regression_of_small_and_constant_groups(spark):
@@ -124,5 +124,5 @@ def test_segments_do_not_depend_on_partitions(spark):
 
 
 def test_generated_pairs_have_their_known_dependence(spark):
-    got = {r.pair: r.chi for r in further.query.__globals__["QUERIES"]["H22_generated_pairs"](spark, "").collect()}
+    got = {r.pair: r.chi for r in generated_chi(spark).collect()}
     assert got["ar1 independent"] < 0.10 and got["ar1 correlated"] > 0.25 and abs(got["gumbel 2"] - (2 - 2**0.5)) < 0.05

@@ -39,7 +39,7 @@ def test_against_duckdb(spark, duck, name):
     assert all(close(x, y) for a, b in zip(rows(got, columns), rows(want, columns), strict=True) for x, y in zip(a, b, strict=True))
 
 
-@pytest.mark.parametrize("name", ["D9_moving_block_index", "D10_bootstrap_interval", "D11_permutation_p_value", "E1_swinging_door", "E3_ramp_extraction", "H6_logistic_with_offset", "H8_cluster_bootstrap", "H11_position_uncertainty", "H14_model_implied_ensemble", "H17_poisson_backtest", "H22_copula_fixtures"])
+@pytest.mark.parametrize("name", ["D9_moving_block_index", "D10_bootstrap_interval", "D11_permutation_p_value", "E1_swinging_door", "E3_ramp_extraction", "H6_logistic_with_offset", "H8_cluster_bootstrap", "H11_position_uncertainty", "H14_model_implied_ensemble", "H17_poisson_backtest"])
 def test_runs_and_repeats(spark, name):
     a, b = (registry.QUERIES[name](spark, SF).toPandas() for _ in range(2))
     columns = sorted(a.columns)
