@@ -30,29 +30,37 @@ LETTERS = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values so that every bit depends on all."""
     h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(27)
-    h = h * np.uint64(0x94D049BB133111EB)
+    h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(31)
     return h
 
 
-#: The bytes that a last block of 1 to 8 bytes keeps.
-TAIL = np.array([(1 << 8 * k) - 1 for k in range(1, 9)], np.uint64)
+#: The bytes that a last block of up to 8 bytes keeps.
+TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+#: What the hash of a stretch of each length up to ``LONG`` begins with.
+FIRST = mix(np.arange(1, LONG + 2, dtype=np.uint64) * np.uint64(BASE))
 
 
 def stretch_hashes(data: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
     """64-bit hashes of the stretches of ``data`` (bytes) from ``a`` to before ``z``; equal bytes have equal hashes."""
     n = np.maximum(z - a, 0)
-    h = mix(n.astype(np.uint64) * np.uint64(BASE) + np.uint64(BASE))
+    if not len(n):
+        return np.zeros(0, np.uint64)
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
-    live = np.flatnonzero((n > 0) & (n <= LONG))
-    k = 0
+    h = FIRST[np.minimum(n, LONG)]
+    block = eight[a]
+    block &= TAIL[np.minimum(n, 8)]
+    block ^= h
+    h = np.where(n > 0, mix(block), h)
+    live, k = np.flatnonzero((n > 8) & (n <= LONG)), 8
     while len(live):
         left = n[live] - k
-        block = eight[a[live] + k] & TAIL[np.minimum(left, 8) - 1]
-        h[live] = mix(h[live] ^ block)
+        h[live] = mix(h[live] ^ (eight[a[live] + k] & TAIL[np.minimum(left, 8)]))
         live = live[left > 8]
         k += 8
     for i in np.flatnonzero(n > LONG).tolist():
