@@ -6,7 +6,7 @@ and both neighbours, so an equi-join finds all partners within the tolerance.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsquall.functions.geo import haversine
@@ -69,3 +69,42 @@ def match_events(pairs: DataFrame, events: DataFrame, others: DataFrame, window_
     best = F.array_min(F.transform("_o", lambda r: F.struct(apart(r).alias("gap"), r["us_j"].alias("us_j"), r["event_j"].alias("event_j"), r["mag_j"].alias("mag_j"), r["dir_j"].alias("dir_j"))))
     near = near.withColumn("_m", best).withColumn("any_extreme", F.coalesce(F.exists("_o", lambda r: r["mag_j"] > r["u_j"]), F.lit(False)))
     return near.select(*pairs.columns, "event_i", "us_i", "mag_i", F.col("_m").isNotNull().alias("found"), "_m.us_j", "_m.mag_j", "_m.dir_j", "any_extreme")
+
+
+def asof_sources(times: DataFrame, tables: DataFrame, at: str, us: str, source: str, tolerance: str, take: list[str]) -> DataFrame:
+    """The nearest row of every source's table within the source's own tolerance, the earlier one on ties: ``at, source, gap`` and ``take``.
+
+    Times go to their own bucket of each tolerance there is, rows of the tables to their own
+    and both neighbours, so one equi-join serves all sources.
+    """
+    widths = tables.select(tolerance).distinct()
+    bucket = lambda c: F.floor(F.col(c) / F.col(tolerance)).cast("long")
+    asked = times.crossJoin(F.broadcast(widths.limit(64))).withColumn("_bucket", bucket(at))  # a row for each kind of tolerance
+    near = F.explode(F.array(bucket(us) - 1, bucket(us), bucket(us) + 1))
+    gap = F.abs(F.col(at) - F.col(us))
+    found = asked.join(tables.withColumn("_bucket", near), [tolerance, "_bucket"]).filter(gap <= F.col(tolerance))
+    best = found.groupBy(at, source).agg(F.min_by(F.struct(gap.alias("gap"), *take), F.struct(gap, F.col(us))).alias("_m"))
+    return best.select(at, source, "_m.*")
+
+
+def sampled_pairs(members: DataFrame, group: str, ident: str, value: str, most: int, least: int) -> DataFrame:
+    """At most ``most`` pairs of the members of every group of at least ``least``: ``group, i, j, t_i, t_j`` with i before j.
+
+    The pairs of a group of n are numbered 0 to n (n - 1) / 2; numbers in steps of a prime
+    are drawn and turned into the pair's two places, so no other pair is ever formed.
+    """
+    placed = members.select(group, ident, value, (F.row_number().over(Window.partitionBy(group).orderBy(ident)) - 1).cast("long").alias("_pos"))
+    n = F.col("_n")
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(n >= max(2, least)).withColumn("_total", F.floor(n * (n - 1) / 2).cast("long"))
+    step = F.when(F.col("_total") % 1_000_003 == 0, 998_244_353).otherwise(1_000_003)
+    drawn = sizes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_total"), F.lit(most)) - 1)).alias("_r"))
+    drawn = drawn.withColumn("_m", (F.col(group) * 7919 + F.col("_r") * step) % F.col("_total"))
+    m = F.col("_m")
+    start = lambda a: a * n - F.floor(a * (a + 1) / 2)
+    guess = F.floor((2 * n - 1 - F.sqrt((2 * n - 1) * (2 * n - 1) - 8 * m)) / 2).cast("long")
+    drawn = drawn.withColumn("_g", guess)
+    g = F.col("_g")
+    drawn = drawn.withColumn("_a", g - (m < start(g)).cast("long") + (m >= start(g + 1)).cast("long"))
+    drawn = drawn.withColumn("_b", m - start(F.col("_a")) + F.col("_a") + 1)
+    one = lambda pos, i, t: placed.select(group, F.col("_pos").alias(pos), F.col(ident).alias(i), F.col(value).alias(t))
+    return drawn.select(group, "_a", "_b").join(one("_a", "i", "t_i"), [group, "_a"]).join(one("_b", "j", "t_j"), [group, "_b"]).select(group, "i", "j", "t_i", "t_j")

@@ -21,6 +21,14 @@ def normal_two_sided(z: pd.Series) -> pd.Series:
     return pd.Series(2 * norm_cdf(-z.abs().to_numpy(dtype=float)))
 
 
+def normal_cdf(z: Column, terms: int = 120) -> Column:
+    """The normal distribution function by its series, as an expression; 0 or 1 beyond 8."""
+    x = F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z))
+    step = lambda s, k: F.struct((s["t"] * x * x / (2 * k + 1)).alias("t"), (s["v"] + s["t"] * x * x / (2 * k + 1)).alias("v"))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.struct(x.alias("t"), x.alias("v")), step, lambda s: s["v"])
+    return F.when(z < -8, 0.0).when(z > 8, 1.0).otherwise(0.5 + F.exp(-x * x / 2) / (2 * F.pi()) ** 0.5 * total)
+
+
 def correlation(x: str, y: str) -> Column:
     """Pearson's r; null where x or y does not vary."""
     return F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))
@@ -46,7 +54,25 @@ def mann_whitney(df: DataFrame, key: list[str], group: str, value: str) -> DataF
     n = F.col("n1") + F.col("n0")
     u = F.col("_w") - F.col("n1") * (F.col("n1") + 1) / 2
     var = F.col("n1") * F.col("n0") / 12.0 * (n + 1 - F.try_divide("_ties", n * (n - 1)))
-    return s.select(*key, "n1", "n0", u.alias("u"), F.try_divide(u - F.col("n1") * F.col("n0") / 2.0, F.sqrt(var)).alias("z"))
+    return s.select(*key, "n1", "n0", u.alias("u"), F.try_divide(u - F.col("n1") * F.col("n0") / 2.0, F.sqrt(var)).alias("z"), F.try_divide(F.lit(0.5), F.sqrt(var)).alias("half"))
+
+
+def mann_whitney_p(u: DataFrame) -> DataFrame:
+    """Adds ``p_less`` (group 1 tends to be smaller) and ``p_two``, by the continuity-corrected normal law."""
+    less, two = normal_cdf(F.col("z") + F.col("half")), 2 * normal_cdf(-F.abs("z") + F.col("half"))
+    return u.withColumn("p_less", less).withColumn("p_two", F.least(F.lit(1.0), two))
+
+
+def velocities(moves: DataFrame, key: str, least: int) -> DataFrame:
+    """``key, n, vx, vy, speed, r2``: the velocity that explains displacements ``dx, dy`` by times ``dt`` best, from sums."""
+    t, x, y = F.col("dt"), F.col("dx"), F.col("dy")
+    n, tt, tx, ty = F.count(F.lit(1)), F.sum(t * t), F.sum(t * x), F.sum(t * y)
+    square = F.sum(x * x) + F.sum(y * y)
+    g = moves.groupBy(key).agg(n.alias("n"), tt.alias("tt"), tx.alias("tx"), ty.alias("ty"), square.alias("q"), (square - (F.pow(F.sum(x), 2) + F.pow(F.sum(y), 2)) / n).alias("total"))
+    g = g.filter((F.col("n") >= least) & (F.col("tt") > 0))
+    move = F.col("tx") * F.col("tx") + F.col("ty") * F.col("ty")
+    r2 = F.when(F.col("total") > 0, 1 - (F.col("q") - move / F.col("tt")) / F.col("total"))
+    return g.select(key, "n", F.round(F.col("tx") / F.col("tt"), 5).alias("vx"), F.round(F.col("ty") / F.col("tt"), 5).alias("vy"), F.round(F.sqrt(move) / F.col("tt"), 5).alias("speed"), F.round(r2, 5).alias("r2"))
 
 
 def two_proportions(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:

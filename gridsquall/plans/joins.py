@@ -61,14 +61,14 @@ def _(spark, d):
 THRESH = "thresh AS (SELECT sid, quantile_cont(mag, 0.8) AS u FROM ramps GROUP BY sid)"
 #: Extreme events of i and all events of j within the pair's window, distance / 15 m/s but at most 30 minutes.
 NEAR = """
-ext AS (SELECT r.* FROM ramps r JOIN thresh t USING (sid) WHERE r.mag > t.u),
-close AS (SELECT i, j, dist FROM pairs WHERE dist < 5000 UNION ALL SELECT j, i, dist FROM pairs WHERE dist < 5000),
-evald AS (SELECT c.i, c.j, c.dist, e.event_id AS event_i, e.start_us AS us_i, least(dist/15.0/60, 30.0) AS win FROM close c JOIN ext e ON e.sid = c.i),
-cand AS (SELECT v.i, v.j, v.event_i, r.start_us AS us_j, r.mag AS mag_j, r.direction AS dir_j, r.mag > t.u AS hot, abs(v.us_i - r.start_us) AS gap, r.event_id AS event_j
+ext AS MATERIALIZED (SELECT r.* FROM ramps r JOIN thresh t USING (sid) WHERE r.mag > t.u),
+close AS MATERIALIZED (SELECT i, j, dist FROM pairs WHERE dist < 5000 UNION ALL SELECT j, i, dist FROM pairs WHERE dist < 5000),
+evald AS MATERIALIZED (SELECT c.i, c.j, c.dist, e.event_id AS event_i, e.start_us AS us_i, least(dist/15.0/60, 30.0) AS win FROM close c JOIN ext e ON e.sid = c.i),
+cand AS MATERIALIZED (SELECT v.i, v.j, v.event_i, r.start_us AS us_j, r.mag AS mag_j, r.direction AS dir_j, r.mag > t.u AS hot, abs(v.us_i - r.start_us) AS gap, r.event_id AS event_j
  FROM evald v JOIN (SELECT *, start_us // 1800000000 + n.n AS bucket FROM ramps, (VALUES (-1), (0), (1)) n(n)) r ON r.sid = v.j AND r.bucket = v.us_i // 1800000000
  JOIN thresh t ON t.sid = v.j WHERE abs(v.us_i - r.start_us) <= round(v.win*6e7)),
-best AS (SELECT i, j, event_i, arg_min(us_j, (gap, us_j, event_j)) AS us_j, arg_min(mag_j, (gap, us_j, event_j)) AS mag_j, arg_min(dir_j, (gap, us_j, event_j)) AS dir_j, bool_or(hot) AS any_extreme FROM cand GROUP BY 1, 2, 3),
-matched AS (SELECT v.*, b.us_j IS NOT NULL AS found, b.us_j, b.mag_j, b.dir_j, coalesce(b.any_extreme, false) AS any_extreme FROM evald v LEFT JOIN best b USING (i, j, event_i))
+best AS MATERIALIZED (SELECT i, j, event_i, arg_min(us_j, (gap, us_j, event_j)) AS us_j, arg_min(mag_j, (gap, us_j, event_j)) AS mag_j, arg_min(dir_j, (gap, us_j, event_j)) AS dir_j, bool_or(hot) AS any_extreme FROM cand GROUP BY 1, 2, 3),
+matched AS MATERIALIZED (SELECT v.*, b.us_j IS NOT NULL AS found, b.us_j, b.mag_j, b.dir_j, coalesce(b.any_extreme, false) AS any_extreme FROM evald v LEFT JOIN best b USING (i, j, event_i))
 """
 
 

@@ -470,15 +470,6 @@ def _(spark, d):
     return _ramps(spark, d).select("mag", "direction", "duration_min", grid).filter("mag >= delta").groupBy("delta").agg(F.count_if(F.col("direction") == "up").alias("n_up"), F.round(F.avg("duration_min"), 4).alias("mean_min"))
 
 
-@query("H21_source_season_matrix", sql("SELECT src, wk, count(*) AS n, round(avg(v), 5) AS mean_v FROM (SELECT r.event_id, (r.start_us // 604800000000) % 4 AS wk, 'speed' AS src, w.speed AS v FROM ramps r JOIN wind w ON w.us = r.start_us // 3600000000*3600000000 UNION ALL SELECT r.event_id, (r.start_us // 604800000000) % 4, 'dir', w.dir::DOUBLE FROM ramps r JOIN wind w ON w.us = r.start_us // 3600000000*3600000000) GROUP BY 1, 2"))
-def _(spark, d):
-    e = A.events(spark, d)
-    r = A.ramps(e).select(F.floor(F.col("start_us") / 6.048e11).cast("long").alias("week"), (F.floor(F.col("start_us") / 3.6e9).cast("long") * 3_600_000_000).alias("us"))
-    w = A.wind(e).select("us", "speed", F.col("dir").cast("double").alias("dir"))
-    long = r.join(w, "us").select((F.col("week") % 4).alias("wk"), "speed", "dir").unpivot(["wk"], ["speed", "dir"], "src", "v")
-    return long.groupBy("src", "wk").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 5).alias("mean_v"))
-
-
 GATE = "SELECT 'G1' AS gate, n_pairs, round(med, 6) AS median_chi, CASE WHEN n_pairs < 10 THEN 'insufficient' WHEN med > 0.1 THEN 'dependent' ELSE 'independent' END AS decision FROM (SELECT count(*) AS n_pairs, median(n_joint/(n*(1-0.8::DOUBLE))) AS med FROM chi WHERE dist < 5000)"
 
 

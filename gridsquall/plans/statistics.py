@@ -378,20 +378,6 @@ def _(spark, d):
     return r.groupBy("sid", F.floor(F.col("start_us") / 5.4e9).cast("long").alias("block")).agg(F.min("start_us").alias("t_us"))
 
 
-BLOCK = "firsts AS (SELECT sid, start_us // 5400000000 AS block, min(start_us) AS t_us FROM ramps WHERE direction = 'up' AND mag >= 0.15 GROUP BY 1, 2)"
-
-
-@query("E14_sampled_pair_lags", sql("SELECT block, i, j, lag_us FROM (SELECT a.block, a.sid AS i, b.sid AS j, abs(a.t_us - b.t_us) AS lag_us, row_number() OVER (PARTITION BY a.block ORDER BY (a.sid*7919 + b.sid*104729) % 1000003, a.sid, b.sid) AS k FROM firsts a JOIN firsts b ON a.block = b.block AND a.sid < b.sid) WHERE k <= 300", BLOCK))
-def _(spark, d):
-    """At most 300 pairs of each block, drawn by an arithmetic hash (the operator samples by design)."""
-    r = A.ramps(A.events(spark, d)).filter("direction = 'up' AND mag >= 0.15")
-    f = r.groupBy("sid", F.floor(F.col("start_us") / 5.4e9).cast("long").alias("block")).agg(F.min("start_us").alias("t"))
-    a, b = f.select("block", F.col("sid").alias("i"), F.col("t").alias("ta")), f.select("block", F.col("sid").alias("j"), F.col("t").alias("tb"))
-    p = a.join(b, "block").filter("i < j")
-    k = F.row_number().over(Window.partitionBy("block").orderBy((F.col("i") * 7919 + F.col("j") * 104729) % 1000003, "i", "j"))
-    return p.withColumn("k", k).filter("k <= 300").select("block", "i", "j", F.abs(F.col("ta") - F.col("tb")).alias("lag_us"))
-
-
 @query("E15_one_row_per_group", sql("SELECT sid, arg_min(event_id, ((event_id*7919 + sid) % 1000003, event_id)) AS event_id FROM ramps GROUP BY sid"))
 def _(spark, d):
     return A.ramps(A.events(spark, d)).groupBy("sid").agg(F.min_by("event_id", F.struct((F.col("event_id") * 7919 + F.col("sid")) % 1000003, F.col("event_id"))).alias("event_id"))
