@@ -47,20 +47,24 @@ def chibar(n_joint: Column, n: Column, q: float) -> Column:
     return F.when(n_joint > 0, F.when(c < 1, F.greatest(F.lit(-1.0), 2 * F.log(F.lit(1 - q)) / F.log(c) - 1)).otherwise(1.0)).otherwise(-1.0)
 
 
-def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
-    """Adds ``p_adjusted`` (running minimum from the largest p) and ``significant``.
+def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``p_adjusted`` (running minimum from the largest p) and ``significant``, within each family ``by``.
 
     Equal p-values have one answer, that of their last rank, so ranks are running counts
     over distinct p-values: a permutation test of B draws has B + 1 of them, however many
     pairs it is made for.  A null p has a null adjustment and is not significant.
     """
-    g = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    up = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    g = g.select("_p", F.sum("_n").over(up).alias("_k"), F.sum("_n").over(Window.partitionBy()).alias("_m"))
-    raw = F.least(F.lit(1.0), F.min(F.col("_p") * F.col("_m") / F.col("_k")).over(Window.orderBy(F.desc("_k"))))
-    crit = F.max(F.when(F.col("_p") <= F.col("_k") * alpha / F.col("_m"), F.col("_p"))).over(Window.partitionBy())
-    g = g.select("_p", raw.alias("p_adjusted"), F.coalesce(F.col("_p") <= crit, F.lit(False)).alias("significant"))
-    out = df.join(g, F.col(p) == F.col("_p"), "left").drop("_p")
+    g = df.filter(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    family = Window.partitionBy(*by)
+    up = family.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    g = g.select(*by, "_p", F.sum("_n").over(up).alias("_k"), F.sum("_n").over(family).alias("_m"))
+    raw = F.least(F.lit(1.0), F.min(F.col("_p") * F.col("_m") / F.col("_k")).over(family.orderBy(F.desc("_k"))))
+    crit = F.max(F.when(F.col("_p") <= F.col("_k") * alpha / F.col("_m"), F.col("_p"))).over(family)
+    g = g.select(*(F.col(c).alias(f"_{c}") for c in by), "_p", raw.alias("p_adjusted"), F.coalesce(F.col("_p") <= crit, F.lit(False)).alias("significant"))
+    same = F.col(p) == F.col("_p")
+    for c in by:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    out = df.join(g, same, "left").drop("_p", *(f"_{c}" for c in by))
     return out.withColumn("significant", F.coalesce("significant", F.lit(False)))
 
 

@@ -71,13 +71,18 @@ def _(spark, d):
     return r.select("i", "j", S.sorted_percentile(F.col("chi"), 0.025, size).alias("ci_low"), S.sorted_percentile(F.col("chi"), 0.975, size).alias("ci_high"))
 
 
-@query("D11_permutation_p_value")
-def _(spark, d):
+def _permutation_p(spark, d):
+    """``i, j, p, n_joint, n`` of every close pair: the share of block permutations with at least as many joint days."""
     size = CONFIG.tail.permutations
     r, _ = _resampled_joint(spark, d, True, size)
-    obs = _chi(spark, d, CONFIG.tail.near_m).select("i", "j", "n_joint")
+    obs = _chi(spark, d, CONFIG.tail.near_m).select("i", "j", "n_joint", "n")
     above = F.size(F.filter("ks", lambda k: k >= F.col("n_joint")))
-    return T.benjamini_hochberg(cut(r.join(obs, ["i", "j"]).select("i", "j", ((1 + above) / (size + 1.0)).alias("p"))), "p")
+    return cut(r.join(obs, ["i", "j"]).select("i", "j", ((1 + above) / (size + 1.0)).alias("p"), "n_joint", "n"))
+
+
+@query("D11_permutation_p_value")
+def _(spark, d):
+    return T.benjamini_hochberg(_permutation_p(spark, d).select("i", "j", "p"), "p")
 
 
 def _doubles(f):
@@ -454,16 +459,6 @@ def _(spark, d):
     return c.join(r, ["i", "j"]).withColumn("chi_gauss", _chi_gauss("rho")).withColumn("gap", F.col("chi") - F.col("chi_gauss"))
 
 
-@query("H19_network_subsampling")
-def _(spark, d):
-    """Median chi over close pairs in hashed subsets of the stations (the operator subsamples by design)."""
-    c = _chi(spark, d, 5000.0).withColumn("chi", T.chi(F.col("n_joint"), F.col("n"), 0.8))
-    c = c.select("*", F.explode(F.array(*map(F.lit, (0.3, 0.5, 0.8)))).alias("share")).select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("b"))
-    kept = (S.uniform("b", "i") < F.col("share")) & (S.uniform("b", "j") < F.col("share"))
-    each = c.filter(kept).groupBy("share", "b").agg(F.count(F.lit(1)).alias("n_pairs"), F.percentile("chi", 0.5).alias("chi"))
-    return each.groupBy("share").agg(F.count(F.lit(1)).alias("n_ok"), F.percentile("chi", 0.5).alias("median"), *S.percentile_interval("chi"))
-
-
 @query("H20_threshold_sweep", sql("SELECT g.d AS delta, count(*) FILTER (direction='up') AS n_up, round(avg(duration_min), 4) AS mean_min FROM ramps JOIN (SELECT (5*r + 5)/100.0::DOUBLE AS d FROM range(6) t(r)) g ON mag >= g.d GROUP BY 1"))
 def _(spark, d):
     grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda r: (5 * r + 5) / 100.0)).alias("delta")

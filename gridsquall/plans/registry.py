@@ -22,4 +22,4 @@ def query(name: str, oracle: str | None = None):
     return put
 
 
-from gridsquall.plans import basic, evidence, further, joins, models, statistics  # noqa: E402, F401  registers its queries
+from gridsquall.plans import basic, decisions, evidence, further, joins, models, statistics  # noqa: E402, F401  registers its queries
