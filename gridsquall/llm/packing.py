@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsquall.llm.common import kept, runs
-from gridsquall.llm.tokens import ChunkEncoder
+from gridsquall.llm.tokens import worker_encoder
 
 #: Lengths over such a part of the capacity count as large.
 PARTS = (2, 3, 4)
@@ -214,7 +214,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_i
     key = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         for batch in runs(batches, 1):
             ids, bounds = encoder.encode(batch.column(1))
             flat = memoryview(np.insert(ids, bounds[1:], end_id).astype("<u4")).cast("B")

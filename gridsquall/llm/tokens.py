@@ -15,6 +15,7 @@ chunk has: a line end, or, where the tokenizer drops white space, a private char
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,7 @@ def chunk_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class ChunkEncoder:
     """Encodes string columns to unsigned 32-bit ids, remembering at most about ``remember`` chunks."""
 
-    def __init__(self, path: str, remember: int = 2_000_000):
+    def __init__(self, path: str, remember: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -159,3 +160,9 @@ class ChunkEncoder:
         """The little-endian ids of each text."""
         ids, bounds = self.encode(pa.array(texts, pa.string()))
         return [ids[a:z].astype("<u4").tobytes() for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+@lru_cache(maxsize=2)
+def worker_encoder(path: str) -> ChunkEncoder:
+    """The encoder of a Python worker: what one task has learned serves the worker's next tasks."""
+    return ChunkEncoder(path)

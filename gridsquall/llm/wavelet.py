@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsquall.llm.common import runs, shared_path
-from gridsquall.llm.tokens import ChunkEncoder
+from gridsquall.llm.tokens import worker_encoder
 
 MAGIC, BLOCK = b"WVM2", 1 << 15
 
@@ -189,7 +189,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: in
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        encoder = ChunkEncoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         ids: list[int | None] = []
         lengths: list[np.ndarray] = []
         own: list[np.ndarray] = []
