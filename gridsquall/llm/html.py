@@ -32,7 +32,16 @@ from pyspark.sql import DataFrame
 from gridsquall.llm import boost
 from gridsquall.llm.common import runs
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+#: Comments, declarations, and tags.  An attribute is a name with or without a value, in quotes or
+#: up to white space: a quote inside a value without quotes is a character like any other, and
+#: one that is never closed ends at the tag's end.  No part of a tag is read twice.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|"
+    r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+)*+)>",
+    re.S,
+)
+#: A slash that belongs to a value without quotes does not close the element.
+SLASH_IN_VALUE = re.compile(r"=\s*[^\s\"'>][^\s>]*/\Z")
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
@@ -62,18 +71,25 @@ class Page:
         links, at, n = 0, 0, len(source)
         unclosed: set[str] = set()
 
+        places: dict[str, list[int]] = {}  # where each open tag lies in the stack
+        blocks = [0]  # and where those lie that are not inline
+
         def close(k: int) -> None:
             nonlocal links
-            links -= sum(t == "a" for t, _ in stack[k:])
+            for t, _ in reversed(stack[k:]):
+                places[t].pop()
+                links -= t == "a"
+            while len(blocks) > 1 and blocks[-1] >= k:
+                blocks.pop()
             del stack[k:]
 
+        def last(tags: frozenset | set) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
         def close_open(tags: frozenset | set, stop: set | frozenset) -> None:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in tags:
-                    close(k)
-                    return
-                if stack[k][0] in stop:
-                    return
+            k = last(tags)
+            if k and k > last(stop - tags):
+                close(k)
 
         def body(parent: int) -> int:
             """The body element, added where its tag is left out."""
@@ -84,7 +100,7 @@ class Page:
             return self.tag.index("body")
 
         while at < n:
-            m = TOKEN.search(source, at)
+            m = TOKEN.search(source, at) if source.find(">", at) >= 0 or source.find("<!--", at) >= 0 else None
             chunk = source[at : m.start() if m else n]
             if chunk:
                 block = stack[-1][1]
@@ -98,15 +114,13 @@ class Page:
                 continue
             tag, block = m[2].lower(), stack[-1][1]
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        close(k)
-                        break
-                    if tag in INLINE and stack[k][0] not in INLINE:
-                        break
+                k = last({tag})
+                if k and (tag not in INLINE or k > blocks[-1]):
+                    close(k)
                 continue
+            ended = m[3].endswith("/") and not SLASH_IN_VALUE.search(m[3])
             if tag in RAW:
-                alone = m[3].endswith("/") or tag in unclosed
+                alone = ended or tag in unclosed
                 end = None if alone else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                 if not alone and not end:
                     unclosed.add(tag)  # not searched again, so that many of them stay linear
@@ -121,7 +135,7 @@ class Page:
                 self.text.append((block, " ", links > 0))
             self.tags[block] += 1
             self.controls[block] += tag in CONTROLS
-            if tag in VOID or m[3].endswith("/"):
+            if tag in VOID or ended:
                 continue
             if tag not in INLINE:
                 if self.depth[block] < MAX_DEPTH:
@@ -136,6 +150,9 @@ class Page:
                     self.controls.append(0)
                     block = len(self.tag) - 1
             links += tag == "a"
+            places.setdefault(tag, []).append(len(stack))
+            if tag not in INLINE:
+                blocks.append(len(stack))
             stack.append((tag, block))
 
     def blocks(self) -> list[tuple[int, str]]:

@@ -1,3 +1,4 @@
+import time
 import itertools
 
 import numpy as np
@@ -77,3 +78,26 @@ def test_query_form(spark, extractor):
     assert by[1] == by[None] == want and by[2] == by[3] == ""
     assert by[4] == "plain text only" and by[5].count("word") == 30_000
     assert H.extract_text(df.limit(0), extractor).count() == 0
+
+
+def pieces(source):
+    return "|".join(t for _, t, _ in H.Page(source).text)
+
+
+def test_stray_quotes_and_slashes_in_tags():
+    assert pieces("<html><body><article><p title=it's>hello there friend</p><p>second one, it's here.</p></article>") == "hello there friend|second one, it's here."
+    assert pieces("<p title=\"a>b\" class=x>one</p><a href=/x/>two</a><br/>three <b \"quo>four</b>") == "one|two| |three |four"
+    assert pieces("<p data-x='never closed>one</p> two") == "one| two"
+    assert pieces("a < b and c > d") == "a < b and c > d" and pieces("<p =odd a= >x") == "x"
+    assert [l for _, t, l in H.Page("<a href=/x/>in</a>out").text] == [True, False]
+
+
+def test_malformed_pages_of_a_megabyte_are_read_in_seconds():
+    pages = {
+        "unclosed quotes": '<a title="' * 100_000, "crossing ends": "<b>" * 150_000 + "</i>" * 150_000, "blocks": "<h1>" * 200_000, "inline over a block": "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000,
+        "cells": "<p><table><tr><td>" + "<h1>" * 100_000, "signs": "<" * 1_000_000, "quotes": "<p a='" * 100_000 + ">", "ends": "</p>" * 200_000, "items": "<li>" * 200_000, "attributes": "<p " + "a=b " * 250_000, "comments": "<!-- " * 200_000,
+    }
+    for name, source in pages.items():
+        began = time.thread_time()
+        H.Page(source)
+        assert time.thread_time() - began < 8, name
