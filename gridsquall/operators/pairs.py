@@ -71,6 +71,31 @@ def match_events(pairs: DataFrame, events: DataFrame, others: DataFrame, window_
     return near.select(*pairs.columns, "event_i", "us_i", "mag_i", F.col("_m").isNotNull().alias("found"), "_m.us_j", "_m.mag_j", "_m.dir_j", "any_extreme")
 
 
+def match_near(events: DataFrame, others: DataFrame, stations: DataFrame, radius_m: float, window_us: Column) -> DataFrame:
+    """What ``match_events`` finds, without the pairs: the matched events only.
+
+    Events of i go to their own and all neighbouring cells of the radius and half-hours, so one
+    equi-join on place and time brings the candidates together; no pair of stations and no
+    unmatched event is written out.  ``window_us`` is an expression of ``dist``.
+    """
+    width = 1_800_000_000
+    dy, dx = radius_m / 110_540.0 * 1.01, radius_m / (111_320.0 * 0.5) * 1.01
+    place = stations.select("sid", "lat", "lon", F.floor(F.col("lat") / dy).alias("_y"), F.floor(F.col("lon") / dx).alias("_x"))
+    side = lambda df, k: df.join(place, "sid").withColumnsRenamed({"sid": k, "lat": f"lat_{k}", "lon": f"lon_{k}"})
+    e = side(events.select("sid", F.col("event_id").alias("event_i"), F.col("start_us").alias("us_i"), F.col("mag").alias("mag_i")), "i")
+    near = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)).alias(c)
+    rest = ["i", "lat_i", "lon_i", "event_i", "us_i", "mag_i"]
+    e = bucketed(e, "us_i", width, True).select(*rest, "_bucket", near("_y"), "_x").select(*rest, "_bucket", "_y", near("_x"))
+    o = others.select("sid", F.col("start_us").alias("us_j"), F.col("mag").alias("mag_j"), F.col("direction").alias("dir_j"), F.col("event_id").alias("event_j"), F.col("u").alias("u_j"))
+    o = bucketed(side(o, "j"), "us_j", width, False)
+    x = e.join(o, ["_bucket", "_y", "_x"]).filter("i != j").withColumn("dist", haversine(F.col("lat_i"), F.col("lon_i"), F.col("lat_j"), F.col("lon_j")))
+    gap = F.abs(F.col("us_i") - F.col("us_j"))
+    x = x.filter((F.col("dist") < radius_m) & (gap <= window_us))
+    best = F.min_by(F.struct("us_j", "mag_j", "dir_j"), F.struct(gap, F.col("us_j"), F.col("event_j")))
+    g = x.groupBy("i", "j", "event_i").agg(F.first("dist").alias("dist"), F.first("us_i").alias("us_i"), F.first("mag_i").alias("mag_i"), best.alias("_m"), F.bool_or(F.col("mag_j") > F.col("u_j")).alias("any_extreme"))
+    return g.select("i", "j", "dist", "event_i", "us_i", "mag_i", "_m.us_j", "_m.mag_j", "_m.dir_j", "any_extreme")
+
+
 def asof_sources(times: DataFrame, tables: DataFrame, at: str, us: str, source: str, tolerance: str, take: list[str]) -> DataFrame:
     """The nearest row of every source's table within the source's own tolerance, the earlier one on ties: ``at, source, gap`` and ``take``.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridsquall.operators.pairs import asof_nearest, both_ways, match_events, near_pairs, pair_distances
+from gridsquall.operators.pairs import asof_nearest, both_ways, match_near, near_pairs, pair_distances
 from gridsquall.plans.registry import query
 from gridsquall.plans.sql import PAIRS, sql
 from gridsquall.session import cut
@@ -72,30 +72,58 @@ matched AS MATERIALIZED (SELECT v.*, b.us_j IS NOT NULL AS found, b.us_j, b.mag_
 """
 
 
-def matched(spark, d):
+def _window():
+    return F.round(F.least(F.col("dist") / 15.0 / 60, F.lit(30.0)) * 6e7).cast("long")
+
+
+def _extremes(spark, d):
+    """Ramps with their station's 80 % quantile ``u``, and those above it."""
     e = A.events(spark, d)
     r = cut(A.ramps(e))
-    u = r.groupBy("sid").agg(F.percentile("mag", 0.8).alias("u"))
-    r = r.join(u, "sid")
-    pairs = both_ways(near_pairs(A.stations(e), 5000.0))
-    window = F.round(F.least(F.col("dist") / 15.0 / 60, F.lit(30.0)) * 6e7).cast("long")
-    return match_events(pairs, r.filter(F.col("mag") > F.col("u")), r, window)
+    r = r.join(r.groupBy("sid").agg(F.percentile("mag", 0.8).alias("u")), "sid")
+    return A.stations(e), r, r.filter(F.col("mag") > F.col("u"))
+
+
+def found(spark, d):
+    """Extreme events of i with a partner event in the window of a close station j."""
+    stations, ramps, extremes = _extremes(spark, d)
+    return match_near(extremes, ramps, stations, 5000.0, _window())
+
+
+def matched(spark, d):
+    """Every extreme event of i for every close station j, whether it has a partner or not."""
+    stations, ramps, extremes = _extremes(spark, d)
+    hits = match_near(extremes, ramps, stations, 5000.0, _window()).drop("dist", "us_i", "mag_i")
+    e = extremes.select(F.col("sid").alias("i"), F.col("event_id").alias("event_i"), F.col("start_us").alias("us_i"), F.col("mag").alias("mag_i"))
+    every = both_ways(near_pairs(stations, 5000.0)).join(e, "i").join(hits, ["i", "j", "event_i"], "left")
+    return every.withColumn("found", F.col("us_j").isNotNull()).withColumn("any_extreme", F.coalesce("any_extreme", F.lit(False)))
+
+
+def pair_counts(spark, d):
+    """``i, j, n`` (extreme events of i) for every directed close pair; a station without any has no row."""
+    stations, _, extremes = _extremes(spark, d)
+    n = extremes.groupBy(F.col("sid").alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    return both_ways(near_pairs(stations, 5000.0)).select("i", "j").join(n, "i")
 
 
 @query("C6_nearest_in_window", sql("SELECT i, j, event_i, found, us_j, dir_j, round(mag_j, 6) AS mag_j FROM matched WHERE found", PAIRS, THRESH, NEAR))
 def _(spark, d):
-    return matched(spark, d).filter("found").select("i", "j", "event_i", "found", "us_j", "dir_j", r6("mag_j").alias("mag_j"))
+    return found(spark, d).select("i", "j", "event_i", F.lit(True).alias("found"), "us_j", "dir_j", r6("mag_j").alias("mag_j"))
 
 
 @query("C7_any_extreme_in_window", sql("SELECT i, j, count(*) AS n, count(*) FILTER (any_extreme) AS n_any FROM matched GROUP BY 1, 2", PAIRS, THRESH, NEAR))
 def _(spark, d):
-    return matched(spark, d).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.count_if("any_extreme").alias("n_any"))
+    hit = found(spark, d).groupBy("i", "j").agg(F.count_if("any_extreme").alias("n_any"))
+    return pair_counts(spark, d).join(hit, ["i", "j"], "left").select("i", "j", "n", F.coalesce("n_any", F.lit(0)).alias("n_any"))
 
 
 @query("C8_symmetric_pairing", sql("SELECT least(i, j) AS i, greatest(i, j) AS j, count(*) FILTER (i < j) AS n_ij, count(*) FILTER (i > j) AS n_ji, count(*) FILTER (found) AS n_found FROM matched GROUP BY 1, 2", PAIRS, THRESH, NEAR))
 def _(spark, d):
-    m = matched(spark, d)
-    return m.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.count_if(F.col("i") < F.col("j")).alias("n_ij"), F.count_if(F.col("i") > F.col("j")).alias("n_ji"), F.count_if("found").alias("n_found")).withColumnsRenamed({"a": "i", "b": "j"})
+    low, high = F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")
+    n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    sides = pair_counts(spark, d).groupBy(low, high).agg(n(F.col("i") < F.col("j")).alias("n_ij"), n(F.col("i") > F.col("j")).alias("n_ji"))
+    hits = found(spark, d).groupBy(low, high).agg(F.count(F.lit(1)).alias("n_found"))
+    return sides.join(hits, ["a", "b"], "left").select(F.col("a").alias("i"), F.col("b").alias("j"), "n_ij", "n_ji", F.coalesce("n_found", F.lit(0)).alias("n_found"))
 
 
 @query("C9_pair_self_join", sql("SELECT i, count(*) AS n, round(avg(dist), 3) AS mean_m, round(min(dist), 3) AS least_m FROM pairs GROUP BY i", PAIRS))

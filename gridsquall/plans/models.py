@@ -23,7 +23,7 @@ from gridsquall.operators import resample as S
 from gridsquall.operators import stats as statistics
 from gridsquall.operators import tail as T
 from gridsquall.operators.pairs import near_pairs, pair_distances
-from gridsquall.plans.joins import NEAR, THRESH, matched
+from gridsquall.plans.joins import NEAR, THRESH, found, matched
 from gridsquall.plans.registry import query
 from gridsquall.plans.sql import DAILY, PAIRS, sql
 from gridsquall.plans.statistics import CHI, _chi, _daily, _margins
@@ -192,7 +192,7 @@ def _(spark, d):
 def _laplace_pairs(spark, d):
     """Matched events of directed close pairs: ``i, j, x, y, km``, both magnitudes on the Laplace scale."""
     r = _train_ecdf(spark, d)
-    m = matched(spark, d).filter("found")
+    m = found(spark, d)
     a = r.select(F.col("sid").alias("i"), F.col("start_us").alias("us_i"), F.col("x"))
     b = r.select(F.col("sid").alias("j"), F.col("start_us").alias("us_j"), F.col("x").alias("y"))
     return m.join(a, ["i", "us_i"]).join(b, ["j", "us_j"]).filter("x > 0.05").select("i", "j", "x", "y", (F.col("dist") / 1000).alias("km"))

@@ -11,7 +11,7 @@ from gridsquall.operators import stats as S
 from gridsquall.operators import tail as T
 from gridsquall.operators.clean import first_of
 from gridsquall.operators.pairs import near_pairs, pair_distances
-from gridsquall.plans.joins import NEAR, THRESH, matched
+from gridsquall.plans.joins import NEAR, THRESH, found, pair_counts
 from gridsquall.plans.registry import query
 from gridsquall.plans.sql import DAILY, PAIRS, sql
 from gridsquall.sources import adapters as A
@@ -138,9 +138,10 @@ def _(spark, d):
 @query("D14_pair_event_summary", sql("SELECT i, j, count(*) AS n_extreme, count(*) FILTER (found) AS n_matched, round(avg(found::INT), 6) AS frac, round(avg((found AND mag_j > u)::INT), 6) AS chi_event, round(avg(any_extreme::INT), 6) AS chi_any FROM matched JOIN thresh ON sid = j GROUP BY 1, 2", PAIRS, THRESH, NEAR))
 def _(spark, d):
     u = A.ramps(A.events(spark, d)).groupBy(F.col("sid").alias("j")).agg(F.percentile("mag", 0.8).alias("u"))
-    m = matched(spark, d).join(u, "j")
-    hot = F.coalesce(F.col("mag_j") > F.col("u"), F.lit(False))
-    return m.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n_extreme"), F.count_if("found").alias("n_matched"), r6(F.avg(F.col("found").cast("int"))).alias("frac"), r6(F.avg(hot.cast("int"))).alias("chi_event"), r6(F.avg(F.col("any_extreme").cast("int"))).alias("chi_any"))
+    hits = found(spark, d).join(u, "j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("n_matched"), F.count_if(F.col("mag_j") > F.col("u")).alias("n_hot"), F.count_if("any_extreme").alias("n_any"))
+    share = lambda c: r6(F.coalesce(c, F.lit(0)) / F.col("n"))
+    g = pair_counts(spark, d).join(hits, ["i", "j"], "left")
+    return g.select("i", "j", F.col("n").alias("n_extreme"), F.coalesce("n_matched", F.lit(0)).alias("n_matched"), share("n_matched").alias("frac"), share("n_hot").alias("chi_event"), share("n_any").alias("chi_any"))
 
 
 @query("D15_ols_regression", sql("SELECT sid, count(*) AS n, round(corr(mag, duration_min), 5) AS r, round(regr_slope(mag, duration_min), 7) AS slope, round(regr_intercept(mag, duration_min), 5) AS intercept FROM ramps GROUP BY sid HAVING count(*) > 2"))
@@ -395,7 +396,7 @@ def _(spark, d):
     return first_of(e, ["sid", "day"], ["us", "event_id"]).select("sid", "day", "event_id")
 
 
-@query("E18_sort", sql("SELECT event_id, row_number() OVER (ORDER BY mag DESC, event_id) AS pos FROM ramps ORDER BY mag DESC, event_id LIMIT 500"))
+@query("E18_top_500", sql("SELECT event_id, row_number() OVER (ORDER BY mag DESC, event_id) AS pos FROM ramps ORDER BY mag DESC, event_id LIMIT 500"))
 def _(spark, d):
     """The 500 largest ramps in order (a top-k report)."""
     top = A.ramps(A.events(spark, d)).orderBy(F.desc("mag"), "event_id").limit(500)
@@ -404,5 +405,5 @@ def _(spark, d):
 
 @query("E18_full_sort", sql("SELECT event_id, row_number() OVER (ORDER BY mag DESC, event_id) AS pos FROM ramps"))
 def _(spark, d):
-    """All ramps in order; ``E18_sort`` is the report of the 500 largest."""
+    """All ramps in order; ``E18_top_500`` is the report of the 500 largest."""
     return R.numbered_sort(A.ramps(A.events(spark, d)).select("event_id", "mag"), F.desc("mag"), F.asc("event_id")).select("event_id", "pos")

@@ -31,11 +31,15 @@ def close(a, b):
         return a.replace(" 00:00:00", "") == b.replace(" 00:00:00", "")
 
 
+#: Has no day with ten matches in the smallest tables.
+MAY_BE_EMPTY = {"D19_daily_velocity"}
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_against_duckdb(spark, duck, name):
     got, want = registry.QUERIES[name](spark, SF).toPandas(), duck.sql(registry.ORACLE[name]).df()
     columns = sorted(want.columns)
-    assert sorted(got.columns) == columns and len(got) == len(want) and len(want)
+    assert sorted(got.columns) == columns and len(got) == len(want) and (len(want) or name in MAY_BE_EMPTY)
     assert all(close(x, y) for a, b in zip(rows(got, columns), rows(want, columns), strict=True) for x, y in zip(a, b, strict=True))
 
 
