@@ -24,12 +24,14 @@ def build(master: str = "local[*]", app: str = "gridsquall", **conf: str) -> Spa
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that cut lineage goes to.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset, as
-    in tests, a temporary folder takes its place.
+    A cluster names it in ``spark.checkpoint.dir``.  Only where driver and executors are one
+    process, as in tests, a temporary folder may take its place; elsewhere it has to be set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridsquall-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
