@@ -11,6 +11,7 @@ from gridsquall.operators import stats
 from gridsquall.operators import tail as T
 from gridsquall.plans.registry import query
 from gridsquall.plans.sql import DAILY, sql
+from gridsquall.plans.statistics import door_sql
 from gridsquall.session import cut
 from gridsquall.sources import adapters as A
 from gridsquall.sources import files
@@ -72,7 +73,7 @@ def _(spark, d):
     return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("mag") + 1e-9, 5).alias("mean_mag"), F.round(stats.correlation("duration_min", "mag"), 4).alias("r"))
 
 
-@query("D26_epsilon_delta_grid")
+@query("D26_epsilon_delta_grid", door_sql("SELECT eps AS epsilon, delta, count(*) AS n, count(DISTINCT sid) AS n_stations FROM found JOIN (VALUES (0.05::DOUBLE), (0.10), (0.15), (0.20)) g(delta) ON abs(d) >= delta AND abs(d) >= 0.05 GROUP BY 1, 2", 0.01, 0.02, 0.05))
 def _(spark, d):
     """Ramps counted for every tolerance and threshold, with one compression for each tolerance."""
     s = cut(A.series(A.events(spark, d)))

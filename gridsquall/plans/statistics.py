@@ -289,12 +289,29 @@ def _(spark, d):
     return A.ramps(A.events(spark, d)).groupBy(why.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("E1_swinging_door")
-def _(spark, d):
-    return E.sdt_segments(A.series(A.events(spark, d)), 0.02)
+RUNS = "runs AS (SELECT sid, us, event_id, k, sum(CASE WHEN k IS NOT NULL AND (pk IS NULL) THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY us, event_id) AS run FROM (SELECT *, lag(k) OVER (PARTITION BY sid ORDER BY us, event_id) AS pk FROM series))"
 
 
-RUNS = "runs AS (SELECT sid, us, event_id, k, sum(CASE WHEN k IS NOT NULL AND (pk IS NULL) THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY us, event_id) AS run FROM (SELECT *, lag(k) OVER (PARTITION BY sid ORDER BY us, event_id) AS pk FROM series))"
+def door_sql(body: str, *eps: float) -> str:
+    """Swinging-door segments ``eps, sid, run, a, z`` (sample numbers) and their samples ``samples``, one step of every run at a time."""
+    values = ", ".join(f"({e}::DOUBLE)" for e in eps)
+    same = "r.eps = w.eps AND r.sid = w.sid AND r.run = w.run"
+    return sql(body, RUNS, f"""
+samples AS (SELECT e.eps, sid, run::BIGINT AS run, us, k, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY e.eps, sid, run) AS n FROM runs, (VALUES {values}) e(eps) WHERE k IS NOT NULL WINDOW w AS (PARTITION BY e.eps, sid, run ORDER BY us, event_id)),
+walk AS (SELECT eps, sid, run, i, n, k, 0::BIGINT AS p, k AS vp, -1e300::DOUBLE AS lo, 1e300::DOUBLE AS hi, [0::BIGINT] AS b FROM samples WHERE i = 0
+ UNION ALL
+ SELECT eps, sid, run, i, n, k, CASE WHEN hi < lo THEN i - 1 ELSE p END, CASE WHEN hi < lo THEN vk ELSE vp END, CASE WHEN hi < lo THEN k - eps - vk ELSE lo END, CASE WHEN hi < lo THEN k + eps - vk ELSE hi END, CASE WHEN hi < lo THEN list_append(b, i - 1) ELSE b END
+ FROM (SELECT r.eps, r.sid, r.run, r.i, r.n, r.k, w.p, w.vp, w.k AS vk, w.b, greatest(w.lo, (r.k - r.eps - w.vp)/(r.i - w.p)) AS lo, least(w.hi, (r.k + r.eps - w.vp)/(r.i - w.p)) AS hi FROM walk w JOIN samples r ON {same} AND r.i = w.i + 1)),
+ends AS (SELECT eps, sid, run, list_append(b, n - 1) AS b FROM walk WHERE i = n - 1 AND n > 1),
+seg AS (SELECT eps, sid, run, b[j] AS a, b[j + 1] AS z FROM (SELECT *, unnest(range(1, len(b))) AS j FROM ends)),
+door AS (SELECT w.eps, w.sid, w.run, x.us AS us_a, y.us AS us_b, x.k AS k_a, y.k AS k_b, w.z - w.a AS n FROM seg w JOIN samples r ON {same} AND r.i = w.a JOIN samples y ON y.eps = w.eps AND y.sid = w.sid AND y.run = w.run AND y.i = w.z JOIN samples x ON x.eps = w.eps AND x.sid = w.sid AND x.run = w.run AND x.i = w.a),
+found AS (SELECT eps, sid, us_a AS start_us, us_b AS end_us, k_b - k_a AS d, (us_b - us_a)/6e7::DOUBLE AS minutes FROM door WHERE (us_b - us_a)/6e7::DOUBLE >= 10)
+""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("E1_swinging_door", door_sql("SELECT sid, run, us_a, us_b, round(k_a, 6) AS k_a, round(k_b, 6) AS k_b, n FROM door", 0.02))
+def _(spark, d):
+    return E.sdt_segments(A.series(A.events(spark, d)), 0.02).select("sid", "run", "us_a", "us_b", r6("k_a").alias("k_a"), r6("k_b").alias("k_b"), "n")
 
 
 @query("E2_valid_runs", sql("SELECT sid, run::BIGINT AS run, count(*) AS n, min(us) AS first_us FROM runs WHERE k IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2", RUNS))
@@ -302,9 +319,10 @@ def _(spark, d):
     return E.valid_runs(A.series(A.events(spark, d))).groupBy("sid", "run").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us")).filter("n >= 2")
 
 
-@query("E3_ramp_extraction")
+@query("E3_ramp_extraction", door_sql("SELECT sid, start_us, end_us, round(d, 6) AS delta_k, CASE WHEN d > 0 THEN 'up' ELSE 'down' END AS direction, round(minutes + 1e-9::DOUBLE, 5) AS duration_min FROM found WHERE abs(d) >= 0.10", 0.02))
 def _(spark, d):
-    return E.segment_ramps(E.sdt_segments(A.series(A.events(spark, d)), 0.02), 0.10, 10)
+    r = E.segment_ramps(E.sdt_segments(A.series(A.events(spark, d)), 0.02), 0.10, 10)
+    return r.withColumn("delta_k", r6("delta_k")).withColumn("duration_min", F.round(F.col("duration_min") + 1e-9, 5))
 
 
 @query("E3_step_ramps", sql("SELECT event_id, sid, direction, round(delta_k, 6) AS delta_k, round(duration_min + 1e-9::DOUBLE, 5) AS duration_min FROM ramps"))
