@@ -28,12 +28,14 @@ def uniform_margins(daily: DataFrame) -> DataFrame:
 def joint_exceedance(margins: DataFrame, pairs: DataFrame, q: float) -> DataFrame:
     """``i, j, dist, n, n_joint``; pairs without a joint day keep a 0.
 
-    The pairs come first, so that only days of stations that are asked for meet.
+    A station's days are bits, 64 of them a word, so a pair meets a row for every 64 days.
     """
     n = margins.agg(F.countDistinct("day").alias("n"))  # one row
-    hot = margins.filter(F.col("u") > q)
-    a, b = hot.select(F.col("sid").alias("i"), "day"), hot.select(F.col("sid").alias("j"), "day")
-    joint = a.join(pairs.select("i", "j"), "i").join(b, ["j", "day"]).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n_joint"))
+    bit = F.expr("shiftleft(1L, cast(pmod(day, 64) AS int))")
+    hot = margins.filter(F.col("u") > q).groupBy("sid", F.floor(F.col("day") / 64).cast("long").alias("w")).agg(F.bit_or(bit).alias("m"))
+    a, b = hot.select(F.col("sid").alias("i"), "w", F.col("m").alias("a")), hot.select(F.col("sid").alias("j"), "w", F.col("m").alias("b"))
+    shared = F.sum(F.bit_count(F.col("a").bitwiseAND(F.col("b")))).cast("long")
+    joint = pairs.select("i", "j").join(a, "i").join(b, ["j", "w"]).groupBy("i", "j").agg(shared.alias("n_joint"))
     return pairs.select("i", "j", "dist").join(joint, ["i", "j"], "left").crossJoin(F.broadcast(n)).withColumn("n_joint", F.coalesce("n_joint", F.lit(0)))
 
 

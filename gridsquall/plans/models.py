@@ -54,7 +54,7 @@ def _resampled_joint(spark, d, only_j: bool, replicates: int):
     days = cut(_day_numbers(m))
     hot = cut(m.filter("u > 0.8").join(days, "day").select("sid", F.col("pos").alias("src")))
     n = days.count()
-    index = F.broadcast(S.block_index(spark, n, 3, replicates))  # replicates x days rows, days of a few years
+    index = S.block_index(spark, n, 3, replicates)  # replicates x days rows
     drawn = S.day_masks(hot.join(index, "src").select("b", "pos", "sid"), replicates)
     fixed = S.day_masks(hot.select(F.lit(0).alias("b"), F.col("src").alias("pos"), "sid"), 1)
     left = fixed.select("sid", "w", F.array_repeat(F.get("masks", F.lit(0)), replicates).alias("masks")) if only_j else drawn
