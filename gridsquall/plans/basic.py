@@ -102,10 +102,9 @@ def _(spark, d):
 
 @query("A17_mapping_csv", sql("SELECT i, arg_min(j, (round(dist, 3), j)) AS j FROM (SELECT i, j, dist FROM pairs UNION ALL SELECT j, i, dist FROM pairs) GROUP BY i", PAIRS))
 def _(spark, d):
-    from gridsquall.operators.pairs import both_ways, pair_distances
+    from gridsquall.operators.places import nearest
 
-    p = both_ways(pair_distances(A.stations(A.events(spark, d))))
-    near = p.groupBy("i").agg(F.min_by("j", F.struct(F.round("dist", 3), F.col("j"))).alias("j"))
+    near = nearest(A.stations(A.events(spark, d))).withColumnRenamed("sid", "i")
     return files.csv_round_trip(near, "i long, j long")
 
 
