@@ -49,12 +49,13 @@ def chibar(n_joint: Column, n: Column, q: float) -> Column:
     return F.when(n_joint > 0, F.when(c < 1, F.greatest(F.lit(-1.0), 2 * F.log(F.lit(1 - q)) / F.log(c) - 1)).otherwise(1.0)).otherwise(-1.0)
 
 
-def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
+def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05, by: tuple[str, ...] = (), few: bool = False) -> DataFrame:
     """Adds ``p_adjusted`` (running minimum from the largest p) and ``significant``, within each family ``by``.
 
     Equal p-values have one answer, that of their last rank, so ranks are running counts
     over distinct p-values: a permutation test of B draws has B + 1 of them, however many
-    pairs it is made for.  A null p has a null adjustment and is not significant.
+    pairs it is made for.  ``few`` says that their number is bounded so; their table is then
+    broadcast, and no row of ``df`` is shuffled.  A null p has a null adjustment and is not significant.
     """
     g = df.filter(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     family = Window.partitionBy(*by)
@@ -66,7 +67,7 @@ def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05, by: tuple[str
     same = F.col(p) == F.col("_p")
     for c in by:
         same = same & (F.col(c) == F.col(f"_{c}"))
-    out = df.join(g, same, "left").drop("_p", *(f"_{c}" for c in by))
+    out = df.join(F.broadcast(g) if few else g, same, "left").drop("_p", *(f"_{c}" for c in by))
     return out.withColumn("significant", F.coalesce("significant", F.lit(False)))
 
 
