@@ -66,6 +66,51 @@ def segment_ramps(segments: DataFrame, delta: float, min_minutes: float) -> Data
     return segments.filter((F.abs(d) >= delta) & (minutes >= min_minutes)).select("sid", F.col("us_a").alias("start_us"), F.col("us_b").alias("end_us"), d.alias("delta_k"), F.when(d > 0, "up").otherwise("down").alias("direction"), minutes.alias("duration_min"))
 
 
+def rolling_minutes(lines: DataFrame, minutes: int, least: int, level: float) -> DataFrame:
+    """``sid, day, minute``: when the mean of the last ``minutes`` (``least`` with a value) first exceeds ``level``.
+
+    The lines of ``minute_lines`` lie together by station, in the window's order.  Their minutes
+    are made for some station days at a time and never leave the task.
+    """
+    DAYS = 256  # noqa: N806  station days at a time, so that running sums stay exact to 1e-11
+
+    def crossings(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        new = np.concatenate(([0], np.flatnonzero((np.diff(x[0]) != 0) | (np.diff(x[1]) != 0)) + 1))
+        for at in range(0, len(new), DAYS):
+            lo, hi = new[at], new[at + DAYS] if at + DAYS < len(new) else len(x[0])
+            sid, day, a, b, c, s = (v[lo:hi] for v in x)
+            group = np.zeros(hi - lo, dtype=np.int64)
+            group[new[at + 1 : at + DAYS] - lo] = 1
+            group = np.cumsum(group)
+            size = (b - a).astype(np.int64)
+            line = np.repeat(np.arange(len(size)), size)
+            minute = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size) + a[line]
+            key = group[line] * 4096 + minute  # days have 1440 minutes, so windows end before the next day's keys
+            total = np.concatenate(([0.0], np.cumsum(c[line] + s[line] * minute - level)))
+            first = np.searchsorted(key, key - (minutes - 1))
+            n = np.arange(1, len(key) + 1) - first
+            mean = (total[1:] - total[first]) / n + level
+            hit = np.flatnonzero((n >= least) & (np.round(mean, 9) > level))
+            _, k = np.unique(group[line[hit]], return_index=True)
+            row = line[hit[k]]
+            yield pa.RecordBatch.from_arrays([pa.array(sid[row]), pa.array(day[row]), pa.array(minute[hit[k]].astype(np.int64))], names=["sid", "day", "minute"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            own = [np.asarray(batch.column(k)) for k in range(6)]
+            held = own if held is None else [np.concatenate(v) for v in zip(held, own, strict=True)]
+            new = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0))
+            if len(new):
+                yield from crossings([v[: new[-1] + 1] for v in held])
+                held = [v[new[-1] + 1 :] for v in held]
+        if held is not None and len(held[0]):
+            yield from crossings(held)
+
+    rows = lines.filter("sid IS NOT NULL").sortWithinPartitions("sid", "day", "a").select("sid", "day", "a", "b", "c", "s")
+    return rows.mapInArrow(work, "sid long, day long, minute long")
+
+
 def rolling_crossing(series: DataFrame, rows: int = 30, least: int = 21, level: float = 0.5) -> DataFrame:
     """For each station and day, when the rolling mean first exceeds ``level``."""
     from gridsquall.sources.adapters import DAY_US

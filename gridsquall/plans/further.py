@@ -34,11 +34,16 @@ def _(spark, d):
     return files.station_of_grid(files.parquet_round_trip(grid.withColumn("day", F.floor(F.col("us") / F.lit(A.DAY_US))), ["day"]), 3).select("us", r6("value").alias("speed"))
 
 
+#: Objects in a file, about 3 MB of text.
+JSON_ROWS = 50_000
+
+
 @query("A9_json_array_files", sql("SELECT event_id, CASE WHEN event_id % 5 > 0 THEN round(value, 4) END AS power FROM ev"))
 def _(spark, d):
     """Files with one JSON array each: a kept list of renamed fields; what is no number becomes null."""
     e = A.events(spark, d)
-    rows = e.select(F.pmod("sid", F.lit(8)).alias("part"), F.struct(F.col("event_id").alias("id"), F.when(F.col("event_id") % 5 > 0, F.round("value", 4).cast("string")).otherwise("n/a").alias("pac"), F.lit("x").alias("unused")).alias("r"))
+    parts = max(8, -(-e.count() // JSON_ROWS))
+    rows = e.select(F.pmod(F.xxhash64("event_id"), F.lit(parts)).alias("part"), F.struct(F.col("event_id").alias("id"), F.when(F.col("event_id") % 5 > 0, F.round("value", 4).cast("string")).otherwise("n/a").alias("pac"), F.lit("x").alias("unused")).alias("r"))
     return files.json_array_round_trip(rows, {"id": ("event_id", "long"), "pac": ("power", "double")})
 
 
@@ -113,10 +118,7 @@ minutes AS (SELECT sid, day, minute, k0 + (k - k0) * (minute * 6e7::DOUBLE - (us
 @query("E12_rolling_crossing_30", sql("SELECT sid, day, min(minute)::BIGINT AS minute FROM (SELECT sid, day, minute, CASE WHEN count(*) OVER w >= 21 THEN avg(k) OVER w END AS mean FROM minutes WINDOW w AS (PARTITION BY sid, day ORDER BY minute RANGE BETWEEN 29 PRECEDING AND CURRENT ROW)) WHERE round(mean, 9) > 0.5 GROUP BY 1, 2", MINUTE_SQL))
 def _(spark, d):
     """For each station and day the first minute at which the mean of the last 30 minutes (21 with a value at least) exceeds one half."""
-    m = A.minute_lines(A.events(spark, d)).select("sid", "day", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("minute"), "c", "s")
-    w = Window.partitionBy("sid", "day").orderBy("minute").rangeBetween(-29, 0)
-    r = m.select("sid", "day", "minute", F.when(F.count(F.lit(1)).over(w) >= 21, F.avg(F.col("c") + F.col("s") * F.col("minute")).over(w)).alias("mean"))
-    return r.filter(F.round("mean", 9) > 0.5).groupBy("sid", "day").agg(F.min("minute").cast("long").alias("minute"))
+    return E.rolling_minutes(A.minute_lines(A.events(spark, d)), 30, 21, 0.5)
 
 
 @query("G17_ramp_shape", sql("SELECT event_id, t AS minute, round(delta_k * t / 10.0::DOUBLE, 6) + 0.0::DOUBLE AS dk FROM ramps, range(11) s(t)"))
