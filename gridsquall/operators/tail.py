@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridsquall.operators.places import station_pairs
+from gridsquall.session import cut
 from gridsquall.sources.adapters import DAY_US
 
 
@@ -25,18 +27,26 @@ def uniform_margins(daily: DataFrame) -> DataFrame:
     return daily.withColumn("u", F.row_number().over(w.orderBy("m", "day")) / (F.count(F.lit(1)).over(w) + 1.0))
 
 
-def joint_exceedance(margins: DataFrame, pairs: DataFrame, q: float) -> DataFrame:
-    """``i, j, dist, n, n_joint``; pairs without a joint day keep a 0.
+def joint_exceedance(margins: DataFrame, stations: DataFrame, q: float, radius_m: float | None = None) -> DataFrame:
+    """``i, j, dist, n, n_joint`` of all pairs, or those within a radius; pairs without a joint day keep a 0.
 
-    A station's days are bits, 64 of them a word, so a pair meets a row for every 64 days.
+    A station's days are bits, 64 of them a word.  Stations bring their words to the pairs,
+    so pairs are counted where they are formed and never shuffled.
     """
     n = margins.agg(F.countDistinct("day").alias("n"))  # one row
     bit = F.expr("shiftleft(1L, cast(pmod(day, 64) AS int))")
-    hot = margins.filter(F.col("u") > q).groupBy("sid", F.floor(F.col("day") / 64).cast("long").alias("w")).agg(F.bit_or(bit).alias("m"))
-    a, b = hot.select(F.col("sid").alias("i"), "w", F.col("m").alias("a")), hot.select(F.col("sid").alias("j"), "w", F.col("m").alias("b"))
-    shared = F.sum(F.bit_count(F.col("a").bitwiseAND(F.col("b")))).cast("long")
-    joint = pairs.select("i", "j").join(a, "i").join(b, ["j", "w"]).groupBy("i", "j").agg(shared.alias("n_joint"))
-    return pairs.select("i", "j", "dist").join(joint, ["i", "j"], "left").crossJoin(F.broadcast(n)).withColumn("n_joint", F.coalesce("n_joint", F.lit(0)))
+    hot = cut(margins.filter(F.col("u") > q).groupBy("sid", F.floor(F.col("day") / 64).cast("long").alias("w")).agg(F.bit_or(bit).alias("m")))
+    words = sorted(r.w for r in hot.select("w").distinct().collect())  # a number for every 64 days
+    of = [F.coalesce(F.max(F.when(F.col("w") == w, F.col("m"))), F.lit(0).cast("long")) for w in words]
+    stations = stations.join(hot.groupBy("sid").agg(F.array(*of).alias("m")), "sid", "left") if words else stations.withColumn("m", F.lit(None).cast("array<long>"))
+    pairs = station_pairs(stations.select("sid", "lat", "lon", "m"), radius_m, ("m",))
+    if len(words) > 64:
+        shared = F.aggregate(F.zip_with("m_i", "m_j", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda s, k: s + k)
+    else:
+        shared = F.lit(0)
+        for k in range(len(words)):
+            shared = shared + F.bit_count(F.get("m_i", F.lit(k)).bitwiseAND(F.get("m_j", F.lit(k))))
+    return pairs.select("i", "j", "dist", F.coalesce(shared, F.lit(0)).cast("long").alias("n_joint")).crossJoin(F.broadcast(n))
 
 
 def chi(n_joint: Column, n: Column, q: float) -> Column:
