@@ -34,8 +34,8 @@ def _(spark, d):
     return files.station_of_grid(files.parquet_round_trip(grid.withColumn("day", F.floor(F.col("us") / F.lit(A.DAY_US))), ["day"]), 3).select("us", r6("value").alias("speed"))
 
 
-#: Objects in a file, about 3 MB of text.
-JSON_ROWS = 50_000
+#: Objects in a file, about 0.3 MB of text.
+JSON_ROWS = 5_000
 
 
 @query("A9_json_array_files", sql("SELECT event_id, CASE WHEN event_id % 5 > 0 THEN round(value, 4) END AS power FROM ev"))
