@@ -11,7 +11,7 @@ from gridsquall.operators import tiles
 from gridsquall.plans import registry
 
 SF = "/root/testdata/sf0.001"
-NO_PAIRS_SHUFFLED = ["C7_any_extreme_in_window", "C8_symmetric_pairing", "D14_pair_event_summary"]
+NO_PAIRS_SHUFFLED = ["C7_any_extreme_in_window", "C8_symmetric_pairing", "D14_pair_event_summary", "D7_coincidence_window", "D10_bootstrap_interval", "D11_permutation_p_value", "H18_chi_against_gaussian"]
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +46,43 @@ def test_event_counts(monkeypatch, stations, ramps, block):
     assert all(r.ramps_i == every.get(r.i, 0) and r.ramps_j == every.get(r.j, 0) for r in counts.collect())
 
 
+@pytest.mark.parametrize("days", [22, 150])
+def test_days_of_pairs(monkeypatch, spark, stations, days):
+    """Counts over one word of days and over several, with a station that has none."""
+    monkeypatch.setattr(tiles, "LEAST_TILE", 8)
+    monkeypatch.setattr(tiles, "BLOCK", 60)
+    rng = np.random.default_rng(days)
+    sids = sorted(r.sid for r in stations.collect())[1:]
+    hot = {s: np.flatnonzero(rng.random(days) < 0.3) for s in sids}
+    at = {s: rng.integers(0, 12, len(hot[s])).astype(float) for s in sids}
+    scores = {s: rng.standard_normal(days) for s in sids}
+    rows = [(s, hot[s].tolist(), at[s].tolist(), scores[s].tolist()) for s in sids]
+    own = stations.join(spark.createDataFrame(rows, "sid long, hot array<int>, at array<double>, scores array<double>"), "sid", "left").cache()
+    near = [(r.i, r.j, r.dist) for r in P.near_pairs(stations, 3000.0).collect()]
+    has = lambda s: np.isin(np.arange(days), hot.get(s, []))
+    index = rng.integers(0, days, (40, days))
+
+    got = {(r.i, r.j): (r.ci_low, r.ci_high) for r in tiles.joint_intervals(own, 3000.0, days, index, 4.0, 0.025, 0.975).collect()}
+    assert set(got) == {(i, j) for i, j, _ in near}
+    assert all(np.allclose(got[i, j], np.percentile((has(i)[index] & has(j)[index]).sum(1) / 4.0, [2.5, 97.5])) for i, j, _ in near)
+
+    got = {(r.i, r.j): (r.n_joint, r.above) for r in tiles.joint_permutations(own, 3000.0, days, index).collect()}
+    joint = {(i, j): int((has(i) & has(j)).sum()) for i, j, _ in near}
+    assert got == {(i, j): (joint[i, j], int(((has(i) & has(j)[index]).sum(1) >= joint[i, j]).sum())) for i, j, _ in near}
+
+    got = {(r.i, r.j): (r.n, r.hits_0, r.hits_1) for r in tiles.peak_gaps(own, 3000.0, (10, 2)).collect()}
+    want = {}
+    for i, j, dist in near:
+        if joint[i, j]:
+            gap = np.abs(*(np.diff([[x[k] for x in (dict(zip(hot[s], at[s], strict=True)) for s in (i, j))] for k in np.intersect1d(hot[i], hot[j])]).T))
+            want[i, j] = (joint[i, j], int((gap <= dist / 10 / 60).sum()), int((gap <= dist / 2 / 60).sum()))
+    assert got == want
+
+    got = {(r.i, r.j): (r.n_joint, r.rho) for r in tiles.score_correlations(own, 3000.0, days).collect()}
+    assert set(got) == {(i, j) for i, j, _ in near if i in scores and j in scores}
+    assert all(n == joint[k] and np.isclose(rho, np.corrcoef(scores[k[0]], scores[k[1]])[0, 1]) for k, (n, rho) in got.items())
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", NO_PAIRS_SHUFFLED)
 def test_pairs_are_not_shuffled(spark, name):
