@@ -89,3 +89,30 @@ def test_pairs_are_not_shuffled(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     above = plan.partition("FlatMapGroupsInArrow")
     assert above[1] and not any(x in above[0] for x in ("Exchange hash", "SortMergeJoin", "HashAggregate"))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_matches_are_not_shuffled(spark):
+    plan = registry.QUERIES["C6_nearest_in_window"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    above = plan.partition("Join")[0]
+    assert "Exchange" not in above and "Aggregate" not in above
+
+
+def test_nearest_match_with_equal_times(stations, ramps):
+    """Many events at one time, and as near before as after: the earlier one, then the one of smaller number."""
+    window = F.round(F.least(F.col("dist") / 15.0 / 60, F.lit(30.0)) * 6e7).cast("long")
+    ramps = ramps.withColumn("start_us", F.floor(F.col("start_us") / 120_000_000).cast("long") * 120_000_000).withColumn("v", F.col("mag") * 7)
+    columns = ["i", "j", "event_i", "us_i", "mag_i", "us_j", "mag_j", "any_extreme"]
+    want = P.match_events(P.both_ways(P.near_pairs(stations, 3000.0)), ramps.filter("mag > u"), ramps, window).filter("found").select(*columns).collect()
+    got = P.match_near(ramps.filter("mag > u"), ramps, stations, 3000.0, window, 200_000_001, ("v",)).collect()
+    assert sorted(tuple(r[c] for c in columns) for r in got) == sorted(map(tuple, want)) and len(want) > 100
+    assert all(r.v_i == r.mag_i * 7 and r.v_j == r.mag_j * 7 for r in got)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_matched_share_counts_every_pair(spark):
+    from gridsquall.plans.joins import matched, matched_share
+
+    every = [r.found for r in matched(spark, SF).collect()]
+    row = matched_share(spark, SF).first()
+    assert (row.n, round(row.f * row.n)) == (len(every), sum(every)) and row.n
