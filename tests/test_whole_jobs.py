@@ -81,3 +81,11 @@ def test_sort_of_all_ramps(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert [p for p, _, _ in got] == list(range(1, 5001)) and [x[1:] for x in got] == sorted((x[1:] for x in got), key=lambda x: (-x[0], x[1]))
     assert registry.QUERIES["E18_full_sort"](spark, SF).count() == A.ramps(A.events(spark, SF)).count() > 500
+
+
+def test_pairs_that_no_draw_holds_are_left_out(spark):
+    from gridsquall.plans.decisions import shared_draws
+
+    networks = spark.createDataFrame([(1, [0, 2]), (2, [2, 3]), (3, [1])], "sid long, rs array<int>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "i long, j long")
+    assert [(r.i, r.j, r.rs) for r in shared_draws(pairs, networks).collect()] == [(1, 2, [2])]
