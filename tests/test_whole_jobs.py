@@ -89,3 +89,10 @@ def test_pairs_that_no_draw_holds_are_left_out(spark):
     networks = spark.createDataFrame([(1, [0, 2]), (2, [2, 3]), (3, [1])], "sid long, rs array<int>")
     pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "i long, j long")
     assert [(r.i, r.j, r.rs) for r in shared_draws(pairs, networks).collect()] == [(1, 2, [2])]
+
+
+def test_drawn_positions_are_not_shuffled(spark):
+    """Stations go to the pairs of tiles with two numbers each, not with a thousand draws."""
+    plan = registry.QUERIES["H11_position_uncertainty"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    above, _, below = plan.partition("Exchange hashpartitioning(ta")
+    assert below and "la#" in above and "la#" not in below and "Exchange" not in above
