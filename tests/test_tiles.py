@@ -116,3 +116,15 @@ def test_matched_share_counts_every_pair(spark):
     every = [r.found for r in matched(spark, SF).collect()]
     row = matched_share(spark, SF).first()
     assert (row.n, round(row.f * row.n)) == (len(every), sum(every)) and row.n
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_joint_days_of_some_pairs_need_no_others(spark):
+    """``H23_gate_coherence`` asks for the joint days of pairs with matches only."""
+    from gridsquall.operators import tail
+    from gridsquall.plans.statistics import _chi, _margins
+
+    every = {(r.i, r.j): (r.n, r.n_joint) for r in _chi(spark, SF).collect()}
+    some = [(j, i) if k % 2 else (i, j) for k, (i, j) in enumerate(sorted(every)) if k % 3 == 0] + [(1, 10**9)]
+    got = {(r.i, r.j): (r.n, r.n_joint) for r in tail.joint_of(spark.createDataFrame(some, "i long, j long"), _margins(spark, SF), 0.8).collect()}
+    assert got == {(i, j): every.get((min(i, j), max(i, j)), (got[1, 10**9][0], 0)) for i, j in some} and any(k for _, k in got.values())
