@@ -2,8 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from gridsquall.functions import geo
 from gridsquall.operators import pairs, places
+from gridsquall.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +75,19 @@ def test_median_of_all_distances(stations, brute, few):
 
 def test_median_of_nothing(stations):
     assert places.weighted_median(places.all_distances(stations.limit(1)), "dist", "w") == (0, None, None)
+
+
+@pytest.mark.parametrize("name", ["G1_haversine", "G3_bearing", "G4_wind_alignment", "G5_expected_lag", "G9_distance_decay"])
+def test_all_pairs_are_made_by_places(spark, name):
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "_tile_i" in plan
+
+
+def test_bearings_of_crowded_places_go_from_the_smaller_number(spark, monkeypatch):
+    monkeypatch.setattr(places, "MOST", 2)
+    rows = [(s, 52.0 + (s * 7 % 3) / 100, 5.0 + (s * 5 % 2) / 100) for s in range(40)] + [(None, None, None)]
+    stations = spark.createDataFrame(rows, "sid long, lat double, lon double")
+    two = pairs.pair_distances(stations).withColumn("towards", geo.bearing(*(F.col(f"{c}_{k}") for k in "ij" for c in ("lat", "lon"))))
+    want = {(r.i, r.j, r.dist, r.towards) for r in two.collect()}
+    got = [(r.i, r.j, r.dist, r.towards) for r in places.station_pairs(stations, towards=geo.bearing).collect()]
+    assert len(want) == 780 == len(got) and set(got) == want
