@@ -128,3 +128,26 @@ def test_joint_days_of_some_pairs_need_no_others(spark):
     some = [(j, i) if k % 2 else (i, j) for k, (i, j) in enumerate(sorted(every)) if k % 3 == 0] + [(1, 10**9)]
     got = {(r.i, r.j): (r.n, r.n_joint) for r in tail.joint_of(spark.createDataFrame(some, "i long, j long"), _margins(spark, SF), 0.8).collect()}
     assert got == {(i, j): every.get((min(i, j), max(i, j)), (got[1, 10**9][0], 0)) for i, j in some} and any(k for _, k in got.values())
+
+
+def test_tiles_hold_as_many_stations_as_memory_allows(spark, monkeypatch):
+    rows = [(s, 52.0 + (s * 37 % 101) / 1000, 5.0 + (s * 53 % 103) / 700, [s] * 4) for s in range(300)]
+    stations = spark.createDataFrame(rows, "sid long, lat double, lon double, v array<int>")
+    copies = lambda: tiles.dealt_pairs(stations, 3000.0, ("v",))[0].count()
+    monkeypatch.setattr(tiles, "LEAST_TILE", 100)
+    few = copies()
+    monkeypatch.setattr(tiles, "MOST_TILE", 20)
+    many = copies()
+    monkeypatch.setattr(tiles, "MOST_TILE", 8192)
+    monkeypatch.setattr(tiles, "VALUES", 100)
+    assert 300 <= few <= 3 * 300 < 2 * few < many and tiles.dealt_pairs(stations, 3000.0, ("v",))[0].agg({"_tile": "max"}).first()[0] >= 9
+
+
+def test_scores_are_made_of_ranks_in_the_tiles(spark):
+    rng = np.random.default_rng(4)
+    ranks = [(s, 52.0 + s / 5000, 5.0, [int(x) + 1 for x in rng.permutation(9)] if s else [1, 2], [s % 9]) for s in range(12)]
+    held = spark.createDataFrame(ranks, "sid long, lat double, lon double, scores array<int>, hot array<int>")
+    got = {(r.i, r.j): r.rho for r in tiles.score_correlations(held, 5000.0, 9, lambda u: np.log(u / (1 - u))).collect()}
+    z = {s: np.log(np.array(r) / 10 / (1 - np.array(r) / 10)) for s, _, _, r, _ in ranks if s}
+    assert set(got) == {(i, j) for i in z for j in z if i < j}
+    assert all(abs(rho - np.corrcoef(z[i], z[j])[0, 1]) < 1e-12 for (i, j), rho in got.items())
