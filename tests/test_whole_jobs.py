@@ -96,3 +96,29 @@ def test_drawn_positions_are_not_shuffled(spark):
     plan = registry.QUERIES["H11_position_uncertainty"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     above, _, below = plan.partition("Exchange hashpartitioning(ta")
     assert below and "la#" in above and "la#" not in below and "Exchange" not in above
+
+
+@pytest.mark.parametrize("around", [0.06, -0.3])
+def test_median_uncertainty_is_that_of_all_pairs(spark, monkeypatch, around):
+    """Values far from the median are only counted; a window that misses it is not used."""
+    from gridsquall.plans import models as M
+
+    monkeypatch.setattr(M, "GUESS", 8)
+    monkeypatch.setattr(M, "AROUND", around)
+    monkeypatch.setattr(M, "LEAST_TILE", 4)
+    rows = registry.QUERIES["H11_position_uncertainty"](spark, SF).collect()
+    n, share, median = M.position_summary(spark, A.stations(A.events(spark, SF)))
+    assert n == len(rows) and abs(share - np.mean([r.flagged for r in rows])) < 1e-12 and abs(median - np.median([r.ru for r in rows])) < 1e-12
+    inside = M._uncertainties(spark, A.stations(A.events(spark, SF)), median * 0.9, median * 1.1).collect()
+    assert sum(r.w for r in inside) == n and len(inside) < n
+
+
+def test_numbers_drawn_in_tasks_are_those_of_the_columns(spark):
+    from pyspark.sql import functions as F
+
+    ids = [0, 1, 7, -3, 1 << 40, 90_000]
+    rows = spark.createDataFrame([(i,) for i in ids], "sid long").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    for letter in "xy":
+        want = {(r.sid, r.b): r.u for r in rows.select("sid", "b", S.uniform("sid", "b", F.lit(letter)).alias("u")).collect()}
+        got = S.uniforms(np.array(ids), 20, letter)
+        assert all(got[k, b] == want[i, b] for k, i in enumerate(ids) for b in range(20))
